@@ -245,9 +245,7 @@ def parse_pages(pages: DataFrame, strict_structure: bool = False) -> DataFrame:
                     continue
                 root = parse(html)
                 body = nodes(root.children[1])
-                for x in body:
-                    x["attrs"] = list(x["attrs"].items())
-                rows.append((page_id, url, meta(root), body, [dict(x["attrs"])["href"] for x in body if x["tag"] == "a" and "href" in dict(x["attrs"])], "\n".join(x["text"] for x in body if x["text"])))
+                rows.append((page_id, url, meta(root), body, [x["attrs"]["href"] for x in body if x["tag"] == "a" and "href" in x["attrs"]], "\n".join(x["text"] for x in body if x["text"])))
             yield pd.DataFrame(rows, columns=PARSED.names)
 
     return pages.select("page_id", "url", "html").mapInPandas(run, PARSED)

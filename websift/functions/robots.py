@@ -8,6 +8,7 @@ from urllib.parse import unquote_plus
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _BAD_ESCAPE = re.compile(r"%(?![0-9A-Fa-f]{2})")
 
@@ -95,7 +96,13 @@ def allowed(robots: Robots, target: str) -> bool:
     return next((r.allow for r in robots.rules if matches(r, target)), True)
 
 
-@F.pandas_udf("boolean")
+RULE = T.StructType(
+    [T.StructField("allow", T.BooleanType()), T.StructField("first", T.StringType()), T.StructField("middle", T.ArrayType(T.StringType())), T.StructField("end_match", T.BooleanType()), T.StructField("regex", T.StringType())]
+)
+PARSED = T.StructType([T.StructField("crawl_delay", T.IntegerType()), T.StructField("sitemaps", T.ArrayType(T.StringType())), T.StructField("rules", T.ArrayType(RULE))])
+
+
+@F.pandas_udf(T.BooleanType())
 def robots_allow(content: pd.Series, target: pd.Series) -> pd.Series:
     """Whether the robots file allows the target (path and query without '?'); a null file allows all."""
     cache: dict[str | None, Robots] = {}
@@ -107,7 +114,7 @@ def robots_allow(content: pd.Series, target: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=bool)
 
 
-@F.pandas_udf("struct<crawl_delay:int,sitemaps:array<string>,rules:array<struct<allow:boolean,first:string,middle:array<string>,end_match:boolean,regex:string>>>")
+@F.pandas_udf(PARSED)
 def parse_robots(content: pd.Series) -> pd.DataFrame:
     rows = []
     for c in content:

@@ -9,6 +9,7 @@ from urllib.parse import quote_plus, unquote_plus, urljoin, urlsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _BAD_ESCAPE = re.compile(r"%(?![0-9A-Fa-f]{2})")
 
@@ -89,22 +90,22 @@ def page_links(base: str | None, hrefs: Iterable[str] | None) -> list[str]:
     return list(seen)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def clean_url(url: pd.Series) -> pd.Series:
     return url.map(clean, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def resolve_url(base: pd.Series, href: pd.Series) -> pd.Series:
     return pd.Series([resolve(b, h) for b, h in zip(base, href, strict=True)], dtype=object)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def expand_url(url: pd.Series) -> pd.Series:
     return pd.Series([expand(u) for u in url], dtype=object)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def links_of(base: pd.Series, hrefs: pd.Series) -> pd.Series:
     return pd.Series([page_links(b, h) for b, h in zip(base, hrefs, strict=True)], dtype=object)
 
