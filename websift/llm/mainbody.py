@@ -25,7 +25,7 @@ HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 SIZES = {
     "tag": 40, "parent": 40, "grandparent": 40, "sections": 256, "link_list": 4, "chars": 12, "words": 12, "end": 12,
     "flag_tag": 80, "flag_around": 8, "h1": 4, "heading": 8, "commas": 64, "depth": 12, "box_links": 24, "box_flags": 24,
-    "box_h1": 4, "place": 12, "flag_since": 24, "tag_words": 480, "box_mean": 24, "bias": 1,
+    "box_h1": 4, "place": 12, "flag_since": 24, "tag_words": 480, "box_mean": 24, "siblings": 160, "list_links": 24, "bias": 1,
 }
 OFFSETS = dict(zip(SIZES, np.concatenate(([0], np.cumsum(list(SIZES.values()))[:-1])).tolist(), strict=True))
 N_CODES = sum(SIZES.values())
@@ -102,7 +102,8 @@ def features(p: Pages, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     linked = (bits[at] >> 8) & 1
 
     size = len(tag)
-    sums = lambda x: np.bincount(box, x, size)
+    sums_by = lambda key, x, m: np.bincount(key, x, m)
+    sums = lambda x: sums_by(box, x, size)
     box_n, box_chars = sums(np.ones(n)), sums(chars.astype(float))
     share = lambda x, total: np.minimum((x / np.maximum(total, 1) * 5 + 0.5).astype(np.int64), 5)
     links_in_box = share(sums(chars * linked.astype(float)), box_chars)[box]
@@ -111,20 +112,36 @@ def features(p: Pages, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     h1_in_box = (sums(is_h1.astype(float)) > 0)[box]
     n_bucket = np.minimum(box_n[box].astype(np.int64), 3)
 
+    parent = np.maximum(p.parent[at], 0)
+    same_parent = np.minimum(sums_by(parent, np.ones(n), size)[parent].astype(np.int64), 4) - 1
+    outer = np.maximum(p.up(p.parent, 0)[at], 0)
+    outer = np.where(linked == 1, outer, parent)
+    list_links = share(sums_by(outer, chars * linked.astype(float), size), sums_by(outer, chars.astype(float), size))[outer]
+
     value = {
         "tag": t, "parent": up[at], "grandparent": p.up(up, 39)[at], "sections": bits[at] & 255, "link_list": (bits[at] >> 8) & 3,
         "chars": _bucket(chars, 11), "words": _bucket(words, 11), "end": full * 1 + colon * 2 + upper * 4 + 0 * digit,
         "flag_tag": flag * 40 + t, "flag_around": before * 1 + after * 2 + flag * 4, "h1": seen_h1 * 2 + is_h1, "heading": head_flag + 3 * is_head,
         "commas": _bucket(commas, 5) * 12 + _bucket(words, 9), "depth": np.minimum(p.depth[at], 11), "box_links": links_in_box * 4 + n_bucket, "box_flags": flags_in_box * 4 + n_bucket,
         "box_h1": h1_in_box * 2 + (linked == 1), "place": np.minimum(10 * (place - first) // np.maximum(last - first + 1, 1), 9), "flag_since": np.minimum(since, 9) + 10 * (linked == 1), "tag_words": t * 12 + _bucket(words, 11),
-        "box_mean": mean_in_box + 12 * (linked == 1), "bias": np.zeros(n, np.int64),
+        "box_mean": mean_in_box + 12 * (linked == 1), "siblings": same_parent * 40 + t, "list_links": list_links * 4 + same_parent, "bias": np.zeros(n, np.int64),
     }
     codes = np.stack([np.clip(value[k], 0, SIZES[k] - 1) + OFFSETS[k] for k in SIZES], axis=1)
     return codes.astype(np.int64), lengths
 
 
+def line_of(p: Pages, at: np.ndarray) -> np.ndarray:
+    """The line of each text block: the parent that has bare text for its inline pieces, else the block itself."""
+    bare = np.zeros(len(p.page), bool)
+    texts = at[p.tag_is("#text")[at]]
+    bare[p.parent[texts][p.parent[texts] >= 0]] = True
+    parent = np.maximum(p.parent[at], 0)
+    inside = p.tag_is("#text", *INLINE)[at] & bare[parent] & (p.parent[at] >= 0)
+    return np.where(inside, parent, at)
+
+
 def decode(p: Pages, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """(places of the text blocks, whether each belongs to the main body). Flagged lines and keyword lines never do."""
+    """(places of the text blocks, whether each belongs to the main body). Flagged lines never do."""
     at = blocks(p)
     codes, lengths = features(p, at)
     emit = np.zeros((len(at), 2))
@@ -132,8 +149,12 @@ def decode(p: Pages, model: Model) -> tuple[np.ndarray, np.ndarray]:
         emit[:, 1] = model.weights[codes].sum(axis=1)
     main = crf.viterbi(emit, model.trans, crf.Chains(lengths)) == 1
     if len(at):
+        # The inline pieces of one line have one label: that of most of its characters.
+        line = line_of(p, at)
+        chars = pc.utf8_length(p.text.take(pa.array(at))).to_numpy().astype(float)
+        votes = np.bincount(line, chars * np.where(main, 1, -1), len(p.page))
+        main = votes[line] > 0
         main &= ~p.flag[at]
-        main &= ~is_keyword_line(p.text.take(pa.array(at)))
     return at, main
 
 
@@ -143,17 +164,13 @@ _BLANK = re.compile(r"\s+")
 def weak_labels(p: Pages, at: np.ndarray, documents: dict[int, str]) -> tuple[np.ndarray, np.ndarray]:
     """(label of each block, whether its page may be trained on).
 
-    A block is main if its line stands in the page's exported text and is neither flagged nor a keyword line. The inline
-    pieces of one parent make one line. Pages whose export ends in a line no block has (a cut text), or shares under three lines, are left out.
+    A block is main if its line stands in the page's exported text and is not flagged. The inline pieces of one parent make
+    one line. Pages whose export begins or ends in a line that no block has (a cut text) are left out.
     """
     texts = [_BLANK.sub(" ", x).strip() for x in p.text.take(pa.array(at)).to_pylist()]
-    keywords = is_keyword_line(p.text.take(pa.array(at)))
     group: dict[int, list[int]] = {}
-    inline = p.tag_is("#text", *INLINE)[at]
-    bare = {int(p.parent[a]) for a, x in zip(at, p.tag_is("#text")[at], strict=True) if x}
-    for i, a in enumerate(at):
-        parent = int(p.parent[a])
-        group.setdefault(parent if inline[i] and parent in bare else -1 - i, []).append(i)
+    for i, k in enumerate(line_of(p, at).tolist()):
+        group.setdefault(k, []).append(i)
     line = [""] * len(at)
     for members in group.values():
         whole = _BLANK.sub("", "".join(texts[i] for i in members))
@@ -169,13 +186,14 @@ def weak_labels(p: Pages, at: np.ndarray, documents: dict[int, str]) -> tuple[np
         have = set(lines)
         a, b = np.searchsorted(pages, [k, k + 1])
         hit = [i for i in range(a, b) if line[i] in have]
-        usable[k] = len({line[i] for i in hit}) >= 3 and lines[-1] in {line[i] for i in hit}
+        found = {line[i] for i in hit}
+        usable[k] = bool(lines) and lines[0] in found and lines[-1] in found
         for i in hit:
-            label[i] = not keywords[i] and not p.flag[at[i]]
+            label[i] = not p.flag[at[i]]
     return label, usable
 
 
-def fit(nodes: DataFrame, documents: DataFrame, flags: DataFrame, n_pages: int = 600, steps: int = 120) -> Model:
+def fit(nodes: DataFrame, documents: DataFrame, flags: DataFrame, n_pages: int = 1000, steps: int = 100) -> Model:
     """Trains on at most n_pages labelled pages: those with the lowest hash of their id that have an exported text.
 
     The labels are weak ones, from documents (doc_id, text). No usable page gives a model that takes nothing for main body.
@@ -194,7 +212,7 @@ def fit(nodes: DataFrame, documents: DataFrame, flags: DataFrame, n_pages: int =
     return fit_table(_merge_flags(table), texts, steps)
 
 
-def fit_table(table: pa.Table, texts: dict[int, str], steps: int = 120) -> Model:
+def fit_table(table: pa.Table, texts: dict[int, str], steps: int = 100) -> Model:
     p = Pages(table)
     at = blocks(p)
     codes, lengths = features(p, at)
@@ -208,11 +226,11 @@ def fit_table(table: pa.Table, texts: dict[int, str], steps: int = 120) -> Model
 FOUND = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("node_id", T.IntegerType())])
 
 
-def main_body(nodes: DataFrame, documents: DataFrame, repeated: DataFrame, n_pages: int = 600) -> DataFrame:
+def main_body(nodes: DataFrame, documents: DataFrame, repeated: DataFrame, n_pages: int = 1000) -> DataFrame:
     """page_id, node_id of the text blocks of the main body of every page.
 
     nodes: page_id, node_id, parent_id, node_depth, tag, text. repeated: page_id, node_id of lines that the site repeats.
-    Nodes without text are no blocks, nor are nodes with a null id; a repeated (page_id, node_id) counts once; a missing parent
+    Lines that only list keywords are left out of it. Nodes without text are no blocks, nor are nodes with a null id; a repeated (page_id, node_id) counts once; a missing parent
     ends the chain of ancestors; an empty table, or one without a page to learn from, has no main body.
 
     Method: linear-chain CRF over the text blocks of a page in document order, with the tags of a block and its ancestors, its
@@ -223,6 +241,7 @@ def main_body(nodes: DataFrame, documents: DataFrame, repeated: DataFrame, n_pag
     def run(table: pa.Table) -> dict:
         p = Pages(table)
         at, main = decode(p, model)
+        main &= ~is_keyword_line(p.text.take(pa.array(at)))
         return {"page_id": p.page_id[at[main]], "node_id": p.node_id[at[main]].astype(np.int32)}
 
     return stream_pages(nodes, COLUMNS, run, FOUND, repeated)
