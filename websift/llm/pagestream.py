@@ -29,7 +29,7 @@ def stream_pages(nodes: DataFrame, columns: list[str], run: Callable, schema: T.
         empty = [F.lit(None).cast(nodes.schema[c].dataType).alias(c) for c in columns]
         rows = rows.unionByName(flags.select("page_id", "node_id", *empty, F.lit(True).alias("flag")))
     ordered = rows.repartition("page_id").sortWithinPartitions("page_id", "node_id", F.desc("flag"))
-    names = schema.names
+    names, flagged = schema.names, flags is not None
 
     def arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -39,7 +39,7 @@ def stream_pages(nodes: DataFrame, columns: list[str], run: Callable, schema: T.
         rows_kept = 0
 
         def flush(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            made = run(_merge_flags(table) if flags is not None else _first_of_each(table))
+            made = run(_merge_flags(table) if flagged else _first_of_each(table))
             if made is not None and len(made[names[0]]):
                 yield from pa.table([pa.array(made[n], type=out.field(n).type) for n in names], schema=out).to_batches()
 
