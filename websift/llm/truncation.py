@@ -37,7 +37,7 @@ def _endings(documents: DataFrame) -> DataFrame:
     return d.withColumn("comma", comma).withColumn("whole", whole).withColumn("sentence", sentence).select(
         "doc_id", "source", F.char_length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.char_length("bare").alias("bare_chars"), F.octet_length("bare").alias("bare_bytes"),
         "broken", "marked", "whole", "comma", "loose_share", "last_line", "sentence", F.size("words").alias("n_words"),
-        F.when(F.size("words") >= 1, F.element_at("words", -1)).alias("last"), F.when(F.size("words") >= 2, F.element_at("words", -2)).alias("prev"),
+        F.when(F.size("words") >= 1, F.element_at("words", -1)).alias("last"), F.when(F.size(F.split(F.col("sentence"), r"[^\p{L}\p{M}\p{N}]+[\p{L}\p{M}\p{N}]")) <= 1, ".").when(F.size("words") >= 2, F.element_at("words", -2)).alias("prev"),
     )
 
 
@@ -73,18 +73,25 @@ def _stream(text: Column) -> Column:
 
 
 def continuations(documents: DataFrame, asked: DataFrame) -> DataFrame:
-    """prev, last, n, n_end, n_longer for each pair asked for: how often last follows prev in all texts, how often a sentence or line ends there, and how often a longer word that begins with last follows prev.
+    """prev, last, n, n_end, n_longer, n_any, n_any_end for each pair asked for.
 
-    Word pairs are added up on the map side; only pairs with an asked-for first word and initial are kept, so the join is on these two.
+    n: how often last follows prev in all texts, n_end: how often a sentence or line ends there, n_longer: how often a longer
+    word that begins with last follows prev; n_any and n_any_end: the same as n and n_end after any word. prev '.' is the start of a sentence.
+    The open end of a text itself does not count. Word pairs are added up on the map side; the table of distinct pairs is joined by word and initial.
     """
-    w = documents.where("text is not null").select(_stream(F.col("text")).alias("w")).where("size(w) >= 3")
-    pairs = w.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.struct(F.get("w", i).alias("prev"), F.get("w", i + 1).alias("word"), (F.get("w", i + 2) == ".").alias("end")))).alias("x")).select("x.*")
-    pairs = pairs.where("prev <> '.' and word <> '.'").groupBy("prev", "word").agg(F.count("*").alias("n"), F.count_if("end").alias("n_end"))
-    pairs = pairs.select("prev", F.left("word", F.lit(1)).alias("initial"), "word", "n", "n_end")
+    text = F.regexp_replace(F.regexp_replace("text", BLANKS, ""), MARK, "")
+    w = documents.where("text is not null").select(F.concat(F.array(F.lit(".")), _stream(text)).alias("w")).where("size(w) >= 3")
+    pair = lambda i: F.struct(F.get("w", i).alias("prev"), F.get("w", i + 1).alias("word"), (F.get("w", i + 2) == ".").alias("end"))
+    pairs = w.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 3), pair)).alias("x")).select("x.*").where("word <> '.'")
+    pairs = pairs.groupBy("prev", "word").agg(F.count("*").alias("n"), F.count_if("end").alias("n_end"))
+    pairs = materialise(pairs.select("prev", F.left("word", F.lit(1)).alias("initial"), "word", "n", "n_end"), "cut-pairs")
     keys = small(materialise(asked.select("prev", "last").distinct().withColumn("initial", F.left("last", F.lit(1))), "cut-asked"))
     hit = pairs.join(keys, ["prev", "initial"]).where(F.col("word").startswith(F.col("last")))
     same = F.col("word") == F.col("last")
-    return hit.groupBy("prev", "last").agg(F.sum(F.when(same, F.col("n")).otherwise(0)).alias("n"), F.sum(F.when(same, F.col("n_end")).otherwise(0)).alias("n_end"), F.sum(F.when(same, 0).otherwise(F.col("n"))).alias("n_longer"))
+    after = hit.groupBy("prev", "last").agg(F.sum(F.when(same, F.col("n")).otherwise(0)).alias("n"), F.sum(F.when(same, F.col("n_end")).otherwise(0)).alias("n_end"), F.sum(F.when(same, 0).otherwise(F.col("n"))).alias("n_longer"))
+    lasts = keys.select("last").distinct()
+    anywhere = pairs.withColumnRenamed("word", "last").join(lasts, "last", "left_semi").groupBy("last").agg(F.sum("n").alias("n_any"), F.sum("n_end").alias("n_any_end"))
+    return keys.select("prev", "last").join(after, ["prev", "last"], "left").join(anywhere, "last", "left")
 
 
 def truncated(documents: DataFrame, end_rate: float = 0.06, same_line: int = 3) -> DataFrame:
@@ -109,14 +116,15 @@ def truncated(documents: DataFrame, end_rate: float = 0.06, same_line: int = 3)
     x = x.join(common.withColumnRenamed("source", "s2").withColumnRenamed("line", "l2"), (F.col("line") == F.col("l2")) & F.col("source").eqNullSafe(F.col("s2")), "left").drop("s2", "l2")
     x = x.join(limits.withColumnRenamed("source", "s3"), F.col("source").eqNullSafe(F.col("s3")), "left").drop("s3")
     x = x.join(small(materialise(seen, "cut-seen")), ["prev", "last"], "left")
-    n, n_end, longer = (F.coalesce(F.col(c), F.lit(0)) for c in ("n", "n_end", "n_longer"))
+    n, n_end, longer, n_any, any_end = (F.coalesce(F.col(c), F.lit(0)) for c in ("n", "n_end", "n_longer", "n_any", "n_any_end"))
     own_line = F.col("sentence") == F.col("last_line")
     aside = own_line & F.col("last_line").rlike(r"^[•\s–-]*\p{Ll}") & ~F.col("comma")
     tagged = F.col("last_line").rlike(r"^[^\s,.!?:;|]+(,\s+[^\s,.!?:;|]+){2,}$")
     name = own_line & F.col("last_line").rlike(r"^\P{L}*\p{Lu}\p{Ll}+(\s+\p{Lu}\p{Ll}+){0,2}\P{L}*$") & (n == 0) & (longer == 0)
     excluded = F.coalesce("usual", F.lit(False)) | (F.col("loose_share") > 0.6) | aside | tagged | name
     word = (longer >= 2) & (n_end < F.greatest(F.lit(1), longer * 0.05)) & (n <= longer)
-    sentence = ((n >= 3) & (n_end <= n * F.lit(end_rate))) | F.col("comma")
+    never_ends = ((n >= 3) & (n_end <= n * F.lit(end_rate))) | ((n >= 1) & (n < 3) & (n_any >= 20) & (any_end <= n_any * 0.01))
+    sentence = never_ends | F.col("comma")
     at_limit = F.coalesce(F.arrays_overlap("limits", F.array(*[F.concat_ws(":", F.lit(u), F.col(c)) for u, c in units])), F.lit(False))
     unseen = (n == 0) & (longer == 0)
     in_text = ~own_line | (F.col("n_words") >= 4)
