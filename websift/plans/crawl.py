@@ -71,13 +71,15 @@ class Store:
 
 
 def _fetch_pages(config: CrawlConfig) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    transport, max_length, sleep = config.transport, config.max_length, config.sleep  # Columns can't be sent to a worker
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for key, url, delay in zip(b.url_key, b.url, b.delay, strict=True):
-                if config.sleep:
-                    config.sleep(delay)
-                got = fetch(config.transport, re.sub(r"^([^/]*//[^/?#]*):(?=[/?#]|$)", r"\1", url), config.max_length)
+                if sleep:
+                    sleep(delay)
+                got = fetch(transport, re.sub(r"^([^/]*//[^/?#]*):(?=[/?#]|$)", r"\1", url), max_length)
                 row = [key, url, S.ERROR_NETWORK, None, None, None, None, None, None, None, []]
                 if got.redirect is not None:
                     row[2:4] = S.REDIRECT, got.redirect
@@ -97,9 +99,11 @@ def _fetch_pages(config: CrawlConfig) -> Callable[[Iterator[pd.DataFrame]], Iter
 
 
 def _fetch_robots(config: CrawlConfig) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    transport, hops, length = config.transport, config.robots_hops, config.robots_length
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [fetch_following(config.transport, f"{q.replace(':', '://', 1)}/robots.txt", config.robots_hops, config.robots_length).body for q in b.queue]
+            got = [fetch_following(transport, f"{q.replace(':', '://', 1)}/robots.txt", hops, length).body for q in b.queue]
             yield pd.DataFrame({"queue": b.queue, "content": [None if x is None else x.decode("utf-8", "replace") for x in got]})
 
     return run
