@@ -31,6 +31,8 @@ ISO2 = set(ISO3.values()) | {"et", "lv", "lt", "ga", "eu", "gl", "is", "sr", "mk
 #: Scripts of which one language is the usual one, by ranges of code points.
 SCRIPTS = [(0x3040, 0x30FF, "ja"), (0xAC00, 0xD7AF, "ko"), (0x4E00, 0x9FFF, "zh"), (0x0400, 0x04FF, "ru"), (0x0370, 0x03FF, "el"), (0x0600, 0x06FF, "ar"), (0x0590, 0x05FF, "he"), (0x0E00, 0x0E7F, "th"), (0x0900, 0x097F, "hi")]
 
+_OTHER_SCRIPT = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b, _ in SCRIPTS) + "]")
+
 
 def declared(label: str | None) -> str | None:
     """The two-letter code a label names; None if it is missing, names several languages or none."""
@@ -72,6 +74,8 @@ class Model(NamedTuple):
     #: (pieces + 1, languages): probabilities; the last row is that of a character that is no piece.
     probs: np.ndarray
     longest: int
+    #: For each word of the samples, its languages as bits.
+    seen: dict[str, int]
 
 
 def _edges(words: list[str], pieces: dict[str, int], longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
@@ -163,7 +167,8 @@ def train(samples: list[tuple[str, str]], pieces: list[str], rounds: int = 4, mi
         new = (1 - mix) * new / np.maximum(new.sum(axis=0), 1e-12) + mix * pooled / max(pooled.sum(), 1e-12)
         probs = new + floor
         probs[-1] = floor
-    return Model(langs, local, probs, longest)
+    seen = {w[1:]: sum(1 << j for j, la in enumerate(langs) if w in counts[la]) for w in words}
+    return Model(langs, local, probs, longest, seen)
 
 
 class Scorer:
@@ -173,11 +178,12 @@ class Scorer:
         self.model, self.most = model, most_words
         self.rows: dict[str, int] = {}
         self.table = np.zeros((0, len(model.langs)))
+        self.seen = np.zeros(0, np.int64)
 
-    def words(self, words: list[str]) -> np.ndarray:
-        """(len(words), languages), relative to the mean over the languages."""
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(len(words), languages), relative to the mean over the languages; and the languages whose samples hold each word, as bits."""
         if len(self.rows) > self.most:
-            self.rows, self.table = {}, self.table[:0]
+            self.rows, self.table, self.seen = {}, self.table[:0], self.seen[:0]
         fresh = [w for w in words if w not in self.rows]
         for a in range(0, len(fresh), 4096):
             part = [_marked(w[:64]) for w in fresh[a : a + 4096]]  # a word past 64 letters is judged by its first 64
@@ -186,12 +192,16 @@ class Scorer:
             logs = np.log(np.maximum(last, 1e-300))
             base = len(self.table)
             self.table = np.concatenate([self.table, np.clip(logs - logs.mean(axis=1, keepdims=True), -WORD_LIMIT, WORD_LIMIT)])
+            self.seen = np.concatenate([self.seen, np.array([self.model.seen.get(w, 0) for w in fresh[a : a + 4096]], np.int64)])
             self.rows.update((w, base + i) for i, w in enumerate(fresh[a : a + 4096]))
-        return self.table[[self.rows[w] for w in words]] if words else np.zeros((0, len(self.model.langs)))
+        at = np.array([self.rows[w] for w in words], np.int64)
+        return self.table[at], self.seen[at]
 
 
 def script_language(text: str) -> str | None:
     """The usual language of the script most letters are written in, None for Latin and unknown scripts."""
+    if not _OTHER_SCRIPT.search(text):
+        return None
     n: dict[str, int] = {}
     letters = 0
     for c in text:
@@ -212,13 +222,13 @@ def script_language(text: str) -> str | None:
 
 
 class Lines(NamedTuple):
-    """Of each line: language (index into langs, -1 for none), confidence, words, share of words that clearly speak for another language."""
+    """Of each line its scores and number of words; of each word its line, scores and the languages whose samples hold it, as bits."""
 
     scores: np.ndarray
     words: np.ndarray
-    #: word-level: line of each word and its row of scores.
     word_line: np.ndarray
     word_scores: np.ndarray
+    word_seen: np.ndarray
 
 
 def score_lines(scorer: Scorer, texts: list[str]) -> Lines:
@@ -227,12 +237,13 @@ def score_lines(scorer: Scorer, texts: list[str]) -> Lines:
     n = np.array([len(f) for f in found], np.int64)
     flat = pd.Series([w for f in found for w in f], dtype=object)
     codes, distinct = pd.factorize(flat)
-    each = scorer.words(list(distinct))
+    each, seen = scorer.words(list(distinct))
     word_scores = each[codes] if len(codes) else np.zeros((0, len(scorer.model.langs)))
+    word_seen = seen[codes] if len(codes) else np.zeros(0, np.int64)
     line = np.repeat(np.arange(len(texts)), n)
     m = len(scorer.model.langs)
     scores = np.stack([np.bincount(line, word_scores[:, j], len(texts)) for j in range(m)], axis=1) if m else np.zeros((len(texts), 0))
-    return Lines(scores, n, line, word_scores)
+    return Lines(scores, n, line, word_scores, word_seen)
 
 
 def confidence(scores: np.ndarray) -> np.ndarray:

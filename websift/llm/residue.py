@@ -56,10 +56,10 @@ FILLER = [
     "hier komt uw tekst", "uw tekst hier", "titel van de sectie", "klik om dit blok", "klik om te bewerken", "voeg hier", "voorbeeldalinea", "vervangen voor publicatie", "vervangen vóór", "aan te vullen",
 ]
 # How words of dummy Latin begin, and dummy words.
-LATIN = (
+LATIN = tuple((
     "lorem ipsum dolor sit amet consec conse adipis elit sed eiusm tempor tempus incid labor labr dolore magn aliq enim minim veniam quis nostr exerc ullam nisi commod conseq duis aute irur reprehen volupt velit esse cillu cillo fugi null "
     "pariat except sint occae cupid proid sunt culp offic deser mollit anim varem ctetum"
-).split()
+).split())
 DUMMY = {"asdf", "qwer", "qwerty", "test", "testing", "xxx", "xxxx", "foo", "bar", "baz", "blah", "bla", "abc", "tbd", "todo", "dummy"}
 
 #: Placeholders of template languages.
@@ -117,7 +117,7 @@ def is_dummy(text: str) -> bool:
         return False
     if sum(w in DUMMY for w in words) >= 0.8 * len(words):
         return True
-    latin = sum(any(w.startswith(s) for s in LATIN) for w in words)
+    latin = sum(w.startswith(LATIN) for w in words)
     return len(words) >= 5 and latin >= 0.75 * len(words)
 
 

@@ -13,7 +13,7 @@ BROKEN = r"(&[a-zA-Z#0-9]{0,8}|</?[a-zA-Z]{0,8}|\x{FFFD}+)$"
 #: A mark that some writers put after a cut, and others after a whole sentence.
 MARK = r"\s*(\[\s*(\.\.\.|…)\s*\]|\(\s*(\.\.\.|…)\s*\)|…|\.\.\.+)\s*$"
 #: Ends of whole texts: sentence ends, closing signs, numbers, addresses, tags, signatures.
-WHOLE = r"([.!?:;…»”)\]}'’\"*/=_~]|\p{N}|[\p{So}\p{Sk}\p{Sc}]|\p{Lo})$|(https?://|www\.)\S+$|(^|\s)[#@]\S+$|(^|\s)[-–—]\s*\p{Lu}\S+$|(^|\s)\S+\.(com|org|net|example|test|invalid|[a-z]{2})$"
+WHOLE = r"([.!?:;…»”)\]}'’\"*/=_~%>]|\p{N}|[\p{So}\p{Sk}\p{Sc}]|\p{Lo})$|(https?://|www\.)\S+$|(^|\s)[#@]\S+$|(^|\s)[-–—]\s*\p{Lu}\S+$|(^|\s)\S+\.(com|org|net|example|test|invalid|[a-z]{2})$"
 BLANKS = r"[\s\p{Z}\x{200B}\x{FEFF}]+$"
 
 
@@ -54,10 +54,10 @@ def hazards(lengths: DataFrame, neighbours: int = 25, rate: float = 0.01, least:
     at_risk = F.sum("n").over(group.orderBy(F.desc("length")).rangeBetween(Window.unboundedPreceding, Window.currentRow))
     near = group.orderBy("length").rangeBetween(-neighbours, neighbours)
     n = n.withColumn("at_risk", at_risk)
-    around = F.sum("n").over(near) - F.col("n")
-    exposed = F.max("at_risk").over(near)
-    # The lengths without a text count as exposed as well; half a text is added so that an empty neighbourhood has a hazard.
-    n = n.withColumn("expected", (around + 0.5) / (2 * neighbours) * F.col("at_risk") / exposed)
+    n = n.withColumn("hazard", F.col("n") / F.col("at_risk"))
+    around = F.sum("hazard").over(near) - F.col("hazard")
+    # A length without a text has hazard 0; half a text is added so that an empty neighbourhood has a hazard.
+    n = n.withColumn("expected", around / (2 * neighbours) * F.col("at_risk") + 0.5 / (2 * neighbours))
     excess = F.col("n") > F.col("expected")
     log_p = F.when(excess, F.col("n") - F.col("expected") - F.col("n") * F.log(F.col("n") / F.col("expected"))).otherwise(0.0)
     n = n.withColumn("p", F.exp(log_p))
@@ -99,8 +99,8 @@ def truncated(documents: DataFrame, end_rate: float = 0.06, same_line: int = 3)
 
     reason: 'broken' (a torn entity, tag or character), 'word' (the last word is the start of one that usually stands there),
     'sentence' (sentences never end after the last two words), 'length' (no sentence end at a length where too many texts of the source end).
-    Texts that end whole (sentence end, closing sign, number, address, tag, signature), in a line that same_line texts of the source end in, or in a
-    line in lower case of its own, are not cut; nor are texts most of whose lines end open. Null, empty and blank texts, and null ids, give
+    Texts that end whole (sentence end, closing sign, number, address, tag, signature) or in a line in lower case of its own are not cut,
+    nor, by their length alone, those that end in a line that same_line texts of the source end in; nor are texts most of whose lines end open. Null, empty and blank texts, and null ids, give
     no row; a null source is a source of its own; repeated rows give one row.
     """
     ends = materialise(_endings(documents), "cut-endings")
@@ -121,7 +121,8 @@ def truncated(documents: DataFrame, end_rate: float = 0.06, same_line: int = 3)
     aside = own_line & F.col("last_line").rlike(r"^[•\s–-]*\p{Ll}") & ~F.col("comma")
     tagged = F.col("last_line").rlike(r"^[^\s,.!?:;|]+(,\s+[^\s,.!?:;|]+){2,}$")
     name = own_line & F.col("last_line").rlike(r"^\P{L}*\p{Lu}\p{Ll}+(\s+\p{Lu}\p{Ll}+){0,2}\P{L}*$") & (n == 0) & (longer == 0)
-    excluded = F.coalesce("usual", F.lit(False)) | (F.col("loose_share") > 0.6) | aside | tagged | name
+    excluded = (F.col("loose_share") > 0.6) | aside | tagged | name
+    usual = F.coalesce("usual", F.lit(False))
     word = (longer >= 2) & (n_end < F.greatest(F.lit(1), longer * 0.05)) & (n <= longer)
     never_ends = ((n >= 3) & (n_end <= n * F.lit(end_rate))) | ((n >= 1) & (n < 3) & (n_any >= 20) & (any_end <= n_any * 0.01))
     sentence = never_ends | F.col("comma")
@@ -132,8 +133,8 @@ def truncated(documents: DataFrame, end_rate: float = 0.06, same_line: int = 3)
         F.when(F.col("broken"), "broken")
         .when(~excluded & word, "word")
         .when(~excluded & sentence, "sentence")
-        .when(~excluded & at_limit & ~F.col("marked"), "length")
-        .when(~excluded & at_limit & F.col("marked") & unseen & in_text, "length")
+        .when(~excluded & ~usual & at_limit & ~F.col("marked"), "length")
+        .when(~excluded & ~usual & at_limit & F.col("marked") & unseen & in_text, "length")
     )
     return x.withColumn("reason", reason).where("reason is not null").groupBy("doc_id", "source").agg(F.min("reason").alias("reason"))
 
