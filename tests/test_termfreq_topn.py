@@ -7,7 +7,7 @@ COUNTS = "page_id long, word string, word_count long, clash string"
 
 
 def marked(df, **kw):
-    n = df.selectExpr("count(distinct page_id) n_records")
+    n = df.selectExpr("count(distinct page_id)").first()[0]
     return {r.word: (r.total, r.records, r["mark"]) for r in termfreq.mark_terms(termfreq.term_frequency(df), n, **kw).collect()}
 
 

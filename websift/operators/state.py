@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from websift import schema as S
@@ -69,12 +69,15 @@ def lookup(keys: DataFrame, state: DataFrame) -> DataFrame:
 def statistics(state: DataFrame) -> DataFrame:
     """state_type, name, n, percent of all (whole numbers), bytes, percent of all bytes; one row for each type there is.
 
-    The totals are an aggregate over the few rows of the first one, so the log is shuffled once.
+    The log is added up by type on the map side; the percentages are windows over the at most 256 types.
     """
-    by = state.groupBy("state_type").agg(F.count("*").alias("n"), F.sum(F.when(S.is_file(F.col("state_type")), F.coalesce("blob_length", F.lit(0)).cast("long")).otherwise(F.lit(0).cast("long"))).alias("bytes"))
-    total = by.agg(F.sum("n").alias("tn"), F.sum("bytes").alias("tb"))
-    part = lambda x, t: F.when(F.col(t) == 0, F.lit(0).cast("long")).otherwise(F.expr(f"{x} * 100 div {t}"))
-    return by.join(F.broadcast(total)).select("state_type", S.state_name(F.col("state_type")).alias("name"), "n", part("n", "tn").alias("percent"), "bytes", part("bytes", "tb").alias("percent_bytes"))  # one row of totals
+    t = F.col("state_type")
+    size = F.when(S.is_file(t), F.coalesce("blob_length", F.lit(0)).cast("long")).otherwise(F.lit(0).cast("long"))
+    by = state.groupBy("state_type").agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
+    all_types = Window.partitionBy(F.lit(0))
+    by = by.withColumn("tn", F.sum("n").over(all_types)).withColumn("tb", F.sum("bytes").over(all_types))
+    part = lambda x, total: F.when(F.col(total) == 0, F.lit(0).cast("long")).otherwise(F.expr(f"{x} * 100 div {total}"))
+    return by.select("state_type", S.state_name(t).alias("name"), "n", part("n", "tn").alias("percent"), "bytes", part("bytes", "tb").alias("percent_bytes"))
 
 
 def totals(state: DataFrame) -> DataFrame:

@@ -64,11 +64,7 @@ def _runs(batches):  # noqa: ANN001, ANN202
         yield pa.RecordBatch.from_arrays([pa.array([open_run[0]], pa.string()), pa.array([open_run[1]], pa.int64()), pa.array([open_run[2]], pa.int64())], names)
 
 
-def mark_terms(frequency: DataFrame, n_records: DataFrame, common_share: float = 0.2, rare_total: int = 3) -> DataFrame:
-    """word, total, records, mark: 'common' if the word stands in more than the share of all records, else 'rare' if its total is at most rare_total, else null.
-
-    n_records: one row with the column n_records.
-    """
-    share = F.col("records") > F.lit(common_share) * F.col("n_records")
-    mark = F.when(share, "common").when(F.col("total") <= rare_total, "rare")
-    return frequency.join(F.broadcast(n_records)).select("word", "total", "records", mark.alias("mark"))  # one row
+def mark_terms(frequency: DataFrame, n_records: int, common_share: float = 0.2, rare_total: int = 3) -> DataFrame:
+    """word, total, records, mark: 'common' if the word stands in more than common_share of n_records, else 'rare' if its total is at most rare_total, else null."""
+    mark = F.when(F.col("records") > F.lit(common_share * n_records), "common").when(F.col("total") <= rare_total, "rare")
+    return frequency.select("word", "total", "records", mark.alias("mark"))

@@ -405,7 +405,7 @@ CLEAN_COUNTS = r"""d AS (SELECT DISTINCT * FROM word_frequency), t AS (SELECT pa
 
 def _marked(spark: SparkSession, d: str) -> DataFrame:
     counts = read(spark, d, "word_frequency")
-    n = counts.agg(F.count_distinct("page_id").alias("n_records"))
+    n = counts.agg(F.count_distinct("page_id")).first()[0]
     return termfreq.mark_terms(termfreq.term_frequency(counts), n)
 
 
