@@ -85,3 +85,10 @@ def test_index(spark, tmp_path):
     names = {r.k: r.page_id for r in key}
     assert {(r.word, names[r.page_key], r.tf) for r in t["postings"].collect()} == {("word", 1, 1.0), ("word", 2, 2.0), ("other", 2, 1.0)}
     assert {names[r.page_key]: r["rank"] for r in t["rank"].collect()} == {1: 1.0, 2: 1.0}
+
+
+def test_params():
+    assert search.parse_params(None, None) is None and search.parse_params("a", None) == ("a", 0) and search.parse_params("a", "3") == ("a", 3)
+    for page in ("-1", "x", "1.5"):
+        with pytest.raises(ValueError):
+            search.parse_params("a", page)

@@ -7,7 +7,7 @@ from websift import schema as S
 from websift.functions.keys import key_hex
 from websift.operators import decide, state
 from websift.plans.crawl import CrawlConfig, Store, crawl
-from websift.sources import binary
+from websift.sources import binary, logs
 from websift.sources.fetch import Response, fetch, fetch_following, redirect_location
 from websift.sources.tables import memory_store, process, url_list
 from websift.streaming import stats
@@ -155,3 +155,28 @@ def test_stream(spark, tmp_path):
     q.awaitTermination()
     assert {r.state_type: r.n for r in spark.table("state_counts").collect()} == {1: 1, 4: 2}
     assert stats.windowed(rows.unionByName(rows)).agg(F.sum("n")).first()[0] == 3
+
+
+def test_written_files(spark, tmp_path):
+    k = [bytes([i] * 32).hex() for i in range(4)]
+    posts = spark.createDataFrame([(k[0], k[2], 1.0), (k[0], k[1], 2.0), (k[3], k[1], 1.5)], "word_key string, page_key string, tf double")
+    binary.write_index(posts, str(tmp_path / "words"))
+    assert {tuple(r) for r in binary.load_index(spark, str(tmp_path / "words")).collect()} == {tuple(r) for r in posts.collect()}
+    ranks = spark.createDataFrame([(k[0], 0.5), (k[1], 2.0)], "page_key string, rank double")
+    binary.write_rank(ranks, str(tmp_path / "rank"))
+    assert {tuple(r) for r in binary.load_rank(spark, str(tmp_path / "rank")).collect()} == {tuple(r) for r in ranks.collect()}
+    data = b"".join([binary.state_record(bytes(32), 1), binary.state_record(bytes(range(32)), 4, 5, bytes(range(32)), 7, 8), binary.state_record(bytes(range(32)), 2, 5, bytes(range(32))), binary.state_record(bytes(32), 128, 9)])
+    (tmp_path / "in.meta").write_bytes(data)
+    binary.write_state_log(binary.load_state_log(spark, str(tmp_path / "in.meta")), str(tmp_path / "out.meta"))
+    assert (tmp_path / "out.meta").read_bytes() == data
+
+
+def test_logs(spark, tmp_path):
+    said = []
+    get = logs.logged(transport, lambda msg, attrs: said.append((msg, attrs)))
+    get("https://example.org/err-404")
+    with pytest.raises(OSError):
+        get("https://example.org/err-fatal")
+    assert said == [("fetch.ok", {"status": 404, "url": "https://example.org/err-404"}), ("fetch.err", {"err": "FATAL", "url": "https://example.org/err-fatal"})]
+    logs.write_log(spark.createDataFrame([(T0, "INFO", "fetch.ok", {"status": "200"})], logs.LOG), str(tmp_path / "log"))
+    assert logs.read_log(spark, str(tmp_path / "log")).first().attrs == {"status": "200"}

@@ -3,7 +3,7 @@ from hypothesis import given, settings
 from pyspark.sql import functions as F
 
 from websift.functions import keys, robots, text, urls
-from websift.functions.html import meta, nodes, parse, parse_pages, print_lines
+from websift.functions.html import meta, nodes, parse, parse_pages, print_lines, walk
 from websift.operators.search import parse_query
 
 
@@ -151,3 +151,9 @@ def test_robots_rules(spark):
     for pattern, path, ok in cases:
         assert robots.matches(rule(pattern), path) is ok
         assert spark.range(1).select(F.lit(path).rlike(robots.rule_regex(rule(pattern)))).first()[0] is ok
+
+
+def test_walk():
+    seen = []
+    walk(parse("<body><nav><a>x</a></nav><p>y</p></body>").children[1], lambda e: seen.append(e.tag) or e.tag == "nav")
+    assert seen == ["body", "nav", "p", None]

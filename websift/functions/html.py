@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -173,6 +173,15 @@ def _walk(top: Element) -> Iterator[Element]:
         todo.extend(reversed(x.children))
 
 
+def walk(top: Element, prune: Callable[[Element], bool]) -> None:
+    """Calls prune on each element in document order; what stands under one for which it is true is skipped."""
+    todo = [top]
+    while todo:
+        x = todo.pop()
+        if not prune(x):
+            todo.extend(reversed(x.children))
+
+
 def _text(x: Element) -> str:
     return "".join(c.text for c in x.children if c.tag is None)
 

@@ -84,3 +84,14 @@ def search(query: str, page: int, posts: DataFrame, ranks: DataFrame | None, pag
     if any(r["url"] is None for r in rows):
         raise ValueError("a result has no stored page")
     return {"terms": [r.asDict() for r in query_terms(terms, posts).orderBy("position").collect()] if terms else [], "results": rows, "n": n, "chunks": n_chunks(n)}
+
+
+def parse_params(q: str | None, page: str | None) -> tuple[str, int] | None:
+    """Query and page of a request; None if there is no query (the caller shows the start page). ValueError for a page that is no whole number from 0."""
+    if not q:
+        return None
+    if page in (None, ""):
+        return q, 0
+    if not (page.isascii() and page.isdigit()):
+        raise ValueError("page is no whole number")
+    return q, int(page)

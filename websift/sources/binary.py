@@ -112,3 +112,59 @@ def load_rank(spark: SparkSession, path: str) -> DataFrame:
                 yield pd.DataFrame([(k.hex(), struct.unpack(">f", v)[0]) for k, v in read_key_values(bytes(data))], columns=["page_key", "rank"])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "page_key string, rank float")
+
+
+def write_index(posts: DataFrame, folder: str) -> None:
+    """posts: word_key, page_key (hex), tf. Writes the posting lists as key/value files, one a task, each list sorted by page.
+
+    A list is one value of its word by the format, so the rows of a word come to one task; they arrive sorted and are written as
+    they come, and only the open list is held.
+    """
+    import os
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        path = os.path.join(folder, f"words-{TaskContext.get().partitionId():05}.db")
+        open_word, items, written = None, bytearray(), 0
+        with open(path, "wb") as f:
+            for b in batches:
+                for w, p, tf in zip(b.word_key, b.page_key, b.tf, strict=True):
+                    if w != open_word:
+                        if open_word is not None:
+                            f.write(key_values([(bytes.fromhex(open_word), bytes(items))]))
+                            written += 1
+                        open_word, items = w, bytearray()
+                    items += bytes.fromhex(p) + struct.pack(">f", tf)
+            if open_word is not None:
+                f.write(key_values([(bytes.fromhex(open_word), bytes(items))]))
+                written += 1
+        yield pd.DataFrame({"path": [path], "lists": [written]})
+
+    os.makedirs(folder, exist_ok=True)
+    ordered = posts.select("word_key", "page_key", "tf").repartition("word_key").sortWithinPartitions("word_key", "page_key")
+    ordered.mapInPandas(run, "path string, lists long").write.format("noop").mode("overwrite").save()
+
+
+def write_rank(ranks: DataFrame, folder: str) -> None:
+    """ranks: page_key (hex), rank. Writes key/value files of 4-byte values, one a task."""
+    import os
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        path = os.path.join(folder, f"pagerank-{TaskContext.get().partitionId():05}.db")
+        with open(path, "wb") as f:
+            for b in batches:
+                f.write(key_values((bytes.fromhex(k), struct.pack(">f", r)) for k, r in zip(b.page_key, b["rank"], strict=True)))
+        yield pd.DataFrame({"path": [path]})
+
+    os.makedirs(folder, exist_ok=True)
+    ranks.select("page_key", "rank").mapInPandas(run, "path string").write.format("noop").mode("overwrite").save()
+
+
+def write_state_log(log: DataFrame, path: str) -> None:
+    """log: the columns that load_state_log gives. One file in seq order, as the format keeps the order of records by their place."""
+    with open(path, "wb") as f:
+        for r in log.orderBy("seq").toLocalIterator():
+            f.write(state_record(bytes.fromhex(r.url_key), r.state_type, int(r.state_time.timestamp()) if r.state_time else 0, bytes.fromhex(r.digest) if r.state_type == 2 else bytes(12) + bytes.fromhex(r.digest or "00" * 20), r.blob_position or 0, r.blob_length or 0))
