@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,9 +34,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def drop_written() -> None:
+    """Deletes the tables that materialise wrote, at the end of the driver; results read from them must be written by then."""
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        with contextlib.suppress(Exception):  # the session may be gone
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and survives the loss of executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/websift-{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
