@@ -91,7 +91,7 @@ def repeated_lines(nodes: DataFrame, min_pages: int = 3, min_share: float = 0.2,
     if max_length > 1:
         hits = materialise(hits.distinct(), "line-hits")
         patterns = patterns.unionByName(_grow(hits, least, max_length))
-    return hits.select("page_id", "node_id").distinct() if max_length == 1 else hits.select("page_id", "node_id"), patterns
+    return hits.select("page_id", "node_id").distinct(), patterns
 
 
 def _grow(hits: DataFrame, least: DataFrame, max_length: int) -> DataFrame:
