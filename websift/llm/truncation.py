@@ -14,30 +14,41 @@ BROKEN = r"(&[a-zA-Z#0-9]{0,8}|</?[a-zA-Z]{0,8}|\x{FFFD}+)$"
 MARK = r"\s*(\[\s*(\.\.\.|…)\s*\]|\(\s*(\.\.\.|…)\s*\)|…|\.\.\.+)\s*$"
 #: Ends of whole texts: sentence ends, closing signs, numbers, addresses, tags, signatures.
 WHOLE = r"([.!?:;…»”)\]}'’\"*/=_~%>]|\p{N}|[\p{So}\p{Sk}\p{Sc}]|\p{Lo})$|(https?://|www\.)\S+$|(^|\s)[#@]\S+$|(^|\s)[-–—]\s*\p{Lu}\S+$|(^|\s)\S+\.(com|org|net|example|test|invalid|[a-z]{2})$"
-BLANKS = r"[\s\p{Z}\x{200B}\x{FEFF}]+$"
+#: White space of Unicode, and marks that no one sees.
+SPACES = " \t\n\r\f\v\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\u200b\ufeff"
+#: Longer than any BROKEN or MARK ending.
+MARK_CHARS = 32
+
+
+def _rtrim(text: Column) -> Column:
+    return F.rtrim(text, F.lit(SPACES))
 
 
 def _endings(documents: DataFrame) -> DataFrame:
-    """doc_id, source, lengths and what the end of each text looks like. Texts that are null, empty or blank are left out."""
-    text = F.regexp_replace("text", BLANKS, "")
-    d = documents.where("text is not null and doc_id is not null").select("doc_id", "source", "text", text.alias("t")).where("t <> ''")
-    d = d.withColumn("broken", F.col("t").rlike(BROKEN) | F.right("text", F.lit(1)).eqNullSafe("�"))
-    d = d.withColumn("marked", F.col("t").rlike(MARK))
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("t", BROKEN, ""), MARK, ""), BLANKS, "")
-    d = d.withColumn("bare", bare)
-    lines = F.split("bare", r"\n")
-    d = d.withColumn("last_line", F.trim(F.element_at(lines, -1))).withColumn("n_lines", F.size(lines))
-    earlier = F.filter(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.length(F.trim(x)) > 0)
-    loose = F.size(F.filter(earlier, lambda x: ~F.regexp_replace(x, r"[\s»]+$", "").rlike(r"[.!?:…\])]$")))
-    d = d.withColumn("loose_share", F.when(F.size(earlier) >= 3, loose / F.size(earlier)).otherwise(0.0))
+    """doc_id, source, lengths and what the end of each text looks like. Texts that are null, empty or blank are left out.
+
+    Marks are at most MARK_CHARS long, so only that much of a text's end goes through the patterns for them; the other patterns see the last
+    line or its last words. The lengths are those of whole texts.
+    """
+    d = documents.where("text is not null and doc_id is not null").select("doc_id", "source", "text", _rtrim(F.col("text")).alias("t")).where("t <> ''")
+    d = d.withColumn("end", F.right("t", F.lit(MARK_CHARS)))
+    d = d.withColumn("broken", F.col("end").rlike(BROKEN)).withColumn("marked", F.col("end").rlike(MARK))
+    stripped = F.when(F.col("broken") | F.col("marked"), F.regexp_replace(F.regexp_replace("end", BROKEN, ""), MARK, "")).otherwise(F.col("end"))
+    d = d.withColumn("bare", _rtrim(F.concat(F.left("t", F.char_length("t") - F.char_length("end")), stripped)))
+    d = d.withColumn("last_line", F.trim(F.substring_index("bare", "\n", -1)))
+    earlier = F.filter(F.transform(F.split("bare", "\n"), lambda x: F.rtrim(x, F.lit(SPACES + "»"))), lambda x: x != "")
+    d = d.withColumn("lines", F.transform(F.slice(earlier, 1, F.greatest(F.size(earlier) - 1, F.lit(0))), lambda x: F.right(x, F.lit(1))))
+    closed = F.size(F.filter("lines", lambda x: x.isin(*".!?:…])")))
+    d = d.withColumn("loose_share", F.when(F.size("lines") >= 3, 1 - closed / F.size("lines")).otherwise(0.0))
     d = d.withColumn("words", F.filter(F.split(F.lower("last_line"), r"[^\p{L}\p{M}\p{N}]+"), lambda x: x != ""))
-    sentence = F.trim(F.element_at(F.split("last_line", r"[.!?…]+[\"'»”)]*\s"), -1))
-    comma = F.col("bare").rlike(r"[,(“„«]$")
-    whole = F.regexp_replace("bare", r"\s*»$", "").rlike(WHOLE) & ~comma
-    return d.withColumn("comma", comma).withColumn("whole", whole).withColumn("sentence", sentence).select(
+    d = d.withColumn("sentence", F.trim(F.element_at(F.split("last_line", r"[.!?…]+[\"'»”)]*\s"), -1)))
+    d = d.withColumn("comma", F.right("bare", F.lit(1)).isin(*",(“„«["))
+    d = d.withColumn("whole", F.substring_index(F.rtrim("last_line", F.lit(SPACES + "»")), " ", -2).rlike(WHOLE) & ~F.col("comma"))
+    one_word = F.size(F.split(F.col("sentence"), r"[^\p{L}\p{M}\p{N}]+[\p{L}\p{M}\p{N}]")) <= 1
+    return d.select(
         "doc_id", "source", F.char_length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.char_length("bare").alias("bare_chars"), F.octet_length("bare").alias("bare_bytes"),
         "broken", "marked", "whole", "comma", "loose_share", "last_line", "sentence", F.size("words").alias("n_words"),
-        F.when(F.size("words") >= 1, F.element_at("words", -1)).alias("last"), F.when(F.size(F.split(F.col("sentence"), r"[^\p{L}\p{M}\p{N}]+[\p{L}\p{M}\p{N}]")) <= 1, ".").when(F.size("words") >= 2, F.element_at("words", -2)).alias("prev"),
+        F.when(F.size("words") >= 1, F.element_at("words", -1)).alias("last"), F.when(one_word, ".").when(F.size("words") >= 2, F.element_at("words", -2)).alias("prev"),
     )
 
 
@@ -68,8 +79,10 @@ def hazards(lengths: DataFrame, neighbours: int = 25, rate: float = 0.01, least:
 
 def _stream(text: Column) -> Column:
     """The words of a text in lower case with '.' where a sentence or line ends."""
-    marked = F.regexp_replace(F.lower(text), r"[.!?:…]+(?=[\s\"'»”)]|$)|\n+", " . ")
-    return F.filter(F.split(F.regexp_replace(marked, r"[^\p{L}\p{M}\p{N}. ]+", " "), r"\s+"), lambda x: x != "")
+    ends = F.translate(F.lower(text), "!?:…", "....")
+    plain = F.regexp_replace(F.replace(ends, F.lit("\n"), F.lit(". ")), r"[^\p{L}\p{M}\p{N}.]+|\.(?=\.)", " ")
+    marked = F.replace(F.concat(plain, F.lit(" ")), F.lit(". "), F.lit(" . "))
+    return F.filter(F.split(marked, " +"), lambda x: x != "")
 
 
 def continuations(documents: DataFrame, asked: DataFrame) -> DataFrame:
@@ -79,7 +92,9 @@ def continuations(documents: DataFrame, asked: DataFrame) -> DataFrame:
     word that begins with last follows prev; n_any and n_any_end: the same as n and n_end after any word. prev '.' is the start of a sentence.
     The open end of a text itself does not count. Word pairs are added up on the map side; the table of distinct pairs is joined by word and initial.
     """
-    text = F.regexp_replace(F.regexp_replace("text", BLANKS, ""), MARK, "")
+    trimmed = _rtrim(F.col("text"))
+    end = F.right(trimmed, F.lit(MARK_CHARS))
+    text = F.concat(F.left(trimmed, F.char_length(trimmed) - F.char_length(end)), F.regexp_replace(end, MARK, ""))
     w = documents.where("text is not null").select(F.concat(F.array(F.lit(".")), _stream(text)).alias("w")).where("size(w) >= 3")
     pair = lambda i: F.struct(F.get("w", i).alias("prev"), F.get("w", i + 1).alias("word"), (F.get("w", i + 2) == ".").alias("end"))
     pairs = w.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 3), pair)).alias("x")).select("x.*").where("word <> '.'")
