@@ -23,7 +23,7 @@ def top_n(rows: DataFrame, group: str, item: str, score: str, n: int = 5, bands:
     items do not count. Infinite scores count. A group with fewer than n items gives all. An empty table, or n below 1, gives no rows.
 
     Method: descending score bands. Band edges are quantiles of the scores (an approximate quantile moves the edges, never the
-    result), geometric from the top: each band holds about four times the rows above it. Bands are taken from the top; a band first loses
+    result), geometric from the top: each band holds about four times the rows above it. Each band is a folder of its own. Bands are taken from the top; a band first loses
     the groups already filled (anti-join), then counts its items of each open group on the map side. A group whose count stays
     within its need takes the whole band without sorting; where the count passes the need, the band is its boundary, and exact
     ranking by (score, item) of the band's rows finishes it. Ranking is done in two stages, within
@@ -37,15 +37,12 @@ def top_n(rows: DataFrame, group: str, item: str, score: str, n: int = 5, bands:
     # NaN can't stand here; infinities are kept out of the quantiles only.
     edges = best.where("abs(s) < double('inf')").approxQuantile("s", shares, 0.001) if shares else []
     edges = sorted(set(edges), reverse=True)
-    bounds = list(zip([None, *edges], [*edges, None], strict=True))
+    band_of = sum((F.when(F.col("s") < F.lit(e).cast("double"), 1).otherwise(0) for e in edges), F.lit(0))
+    banded = materialise(best.withColumn("band", band_of), "topn-bands", by="band")
     need = None
     taken: list[DataFrame] = []
-    for k, (high, low) in enumerate(bounds):
-        band = best
-        if high is not None:
-            band = band.where(F.col("s") < F.lit(high).cast("double"))
-        if low is not None:
-            band = band.where(F.col("s") >= F.lit(low).cast("double"))
+    for k in range(len(edges) + 1):
+        band = banded.where(F.col("band") == k).drop("band")
         if need is not None:
             filled = need.where("left_over <= 0").select("g")
             band = band.join(filled, "g", "left_anti")
@@ -56,7 +53,7 @@ def top_n(rows: DataFrame, group: str, item: str, score: str, n: int = 5, bands:
         band = band.join(wants, "g")
         whole = band.where("n_band <= want").select("g", "i", "s")
         taken += [whole, _exact(band.where("n_band > want"), n)]
-        if k + 1 < len(bounds):
+        if k < len(edges):
             now = wants.select("g", (F.col("want") - F.least("n_band", "want")).alias("left_over"))
             need = now if need is None else need.join(now.withColumnRenamed("left_over", "new"), "g", "full").select("g", F.coalesce("new", "left_over").alias("left_over"))
             need = materialise(need, "topn-need")

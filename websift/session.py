@@ -47,10 +47,13 @@ def drop_written() -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives the loss of executors."""
+def materialise(df: DataFrame, name: str = "stage", by: str | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts the lineage and survives the loss of executors.
+
+    by: a column of few values, each of which gets a folder of its own, so that a filter on it reads no other.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/websift-{name}-{uuid.uuid4().hex}"
     _WRITTEN.append((spark, path))
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
