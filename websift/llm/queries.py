@@ -13,7 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 #: Pages with a smoothed score of so much are keyword-stuffed.
-SPAM_SCORE = 0.4
+SPAM_SCORE = 0.5
 
 
 def query(f: Query) -> Query:

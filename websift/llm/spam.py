@@ -9,8 +9,8 @@ import pyarrow.compute as pc
 from websift.llm import trees
 
 FEATURES = [
-    "words", "distinct_share", "top_share", "top5_share", "sentence_share", "words_a_block", "short_share", "known_share", "separator_share", "joined_share", "host_share",
-    "link_share", "repeat_share", "attr_words", "attr_distinct", "attr_known", "hidden_share", "skeleton_share", "same_line_share", "blocks", "bare_known", "skeleton_words",
+    "signs", "words", "distinct_share", "top_share", "top5_share", "sentence_share", "words_a_block", "short_share", "known_share", "separator_share", "joined_share", "host_share",
+    "link_share", "repeat_share", "attr_words", "attr_distinct", "attr_known", "hidden_share", "skeleton_share", "same_line_share", "blocks", "bare_known", "repeated_share",
 ]
 
 
@@ -66,24 +66,26 @@ def features(texts: pa.Array, page: np.ndarray, linked: np.ndarray, hidden: np.n
     if len(codes):
         block_known = np.bincount(np.repeat(np.arange(len(page)), counts), is_known, len(page)) / np.maximum(counts, 1)
 
-    # Skeletons: a sentence by its first two and last two words and length; sentences that only vary a keyword share it.
+    # Skeletons: a sentence with a blank for each word that stands once on its page; sentences that only vary a keyword share it.
     sentences = pc.split_pattern_regex(texts, r"[.!?]\s+")
     per = pc.list_value_length(sentences).to_numpy(zero_copy_only=False).astype(np.int64)
     s_counts, s_words = _tokens(pc.list_flatten(sentences))
     s_page = np.repeat(page, per)
     s_codes = pc.dictionary_encode(s_words).indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    start = np.concatenate(([0], np.cumsum(s_counts)[:-1])).astype(np.int64) if len(s_counts) else np.zeros(0, np.int64)
-    long = s_counts >= 5
-    a, b = start[long], start[long] + s_counts[long] - 1
-    width = np.int64(1_000_003)
-    # The ends without the outermost word, too, so that a keyword at the very start or end does not hide the rest.
-    inner_known = np.zeros(len(s_codes))
-    head = s_codes[a + 1] * width + s_codes[a + 2] if len(a) else a
-    tail = s_codes[b - 1] * width + s_codes[b - 2] if len(a) else a
-    same_head = _share_of_repeats(s_page[long], head, n)
-    same_tail = _share_of_repeats(s_page[long], tail, n)
-    both = _share_of_repeats(s_page[long], head * 31 + tail * 17 + s_counts[long], n)
-    del inner_known
+    owner = np.repeat(np.arange(len(s_counts)), s_counts)
+    _, inverse, often = np.unique(s_page[owner] * (1 << 32) + s_codes, return_inverse=True, return_counts=True)
+    kept = often[inverse] > 1
+    place = np.arange(len(s_codes)) - np.repeat(np.cumsum(s_counts) - s_counts, s_counts)
+    mixed = (np.where(kept, s_codes + 2, 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    skeleton = np.zeros(len(s_counts), np.uint64)
+    np.add.at(skeleton, owner, mixed)
+    held = np.bincount(owner, kept, len(s_counts))
+    long = (s_counts >= 4) & (held >= 2) & (held < s_counts)
+    varied = _share_of_repeats(s_page, np.where(long, skeleton, np.arange(len(s_counts)).astype(np.uint64)), n)
+    whole = np.zeros(len(s_counts), np.uint64)
+    np.add.at(whole, owner, (s_codes.astype(np.uint64) + np.uint64(2)) * (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    repeated = _share_of_repeats(s_page, whole, n)
     lines = pc.dictionary_encode(texts).indices.to_numpy(zero_copy_only=False).astype(np.int64)
     line_distinct, _, _ = _repeats(page, lines, n)
 
@@ -101,10 +103,12 @@ def features(texts: pa.Array, page: np.ndarray, linked: np.ndarray, hidden: np.n
         "known_share": np.where(total > 0, ratio(np.bincount(word_page, is_known, n), total), 1), "separator_share": ratio(_by_page(page, separators, n), total), "joined_share": ratio(_by_page(page, joined, n), total),
         "host_share": ratio(_by_page(page, hosts, n), total), "link_share": ratio(_by_page(page, counts * linked.astype(float), n), total), "repeat_share": ratio(np.bincount(word_page, repeat, n), total),
         "attr_words": a_total, "attr_distinct": np.where(a_total > 0, ratio(a_distinct, a_total), 1), "attr_known": np.where(a_total > 0, ratio(a_known, a_total), 1),
-        "hidden_share": ratio(_by_page(page, counts * hidden.astype(float), n), total), "skeleton_share": np.minimum(same_head, same_tail), "same_line_share": 1 - ratio(line_distinct, blocks) * (blocks > 0) - (blocks == 0),
-        "blocks": blocks, "bare_known": ratio(_by_page(page, counts * (block_known < 0.5), n), total), "skeleton_words": both,
+        "hidden_share": ratio(_by_page(page, counts * hidden.astype(float), n), total), "skeleton_share": varied, "same_line_share": 1 - ratio(line_distinct, blocks) * (blocks > 0) - (blocks == 0),
+        "blocks": blocks, "bare_known": ratio(_by_page(page, counts * (block_known < 0.5), n), total), "repeated_share": repeated, "signs": np.zeros(n),
     }
-    return np.stack([value[f] for f in FEATURES], axis=1)
+    x = np.stack([value[f] for f in FEATURES], axis=1).astype(float)
+    x[:, FEATURES.index("signs")] = sum(s.astype(float) for s in signs(x))
+    return x
 
 
 def _share_of_repeats(page: np.ndarray, codes: np.ndarray, n: int) -> np.ndarray:
@@ -117,8 +121,8 @@ def _share_of_repeats(page: np.ndarray, codes: np.ndarray, n: int) -> np.ndarray
     return np.bincount(page, many, n) / np.maximum(np.bincount(page, minlength=n), 1)
 
 
-def weak_labels(x: np.ndarray) -> np.ndarray:
-    """1 spam, 0 content, -1 undecided, by rules that each name one clear sign."""
+def signs(x: np.ndarray) -> list[np.ndarray]:
+    """For each clear sign of spam, the pages that show it."""
     f = {k: x[:, i] for i, k in enumerate(FEATURES)}
     some = f["words"] >= 6
     stuffed = some & (f["sentence_share"] < 0.4) & (f["known_share"] < 0.45)
@@ -126,10 +130,15 @@ def weak_labels(x: np.ndarray) -> np.ndarray:
     listed = some & (f["sentence_share"] < 0.1) & (f["blocks"] >= 8) & (f["words_a_block"] < 6) & (f["known_share"] < 0.8)
     in_attributes = (f["attr_words"] >= 20) & (f["attr_known"] < 0.4) & (f["attr_distinct"] < 0.6)
     hidden = (f["hidden_share"] > 0.4) & (f["known_share"] < 0.6)
-    doorway = (f["skeleton_words"] > 0.5) & (f["blocks"] >= 3) & (f["same_line_share"] < 0.3)
-    spam = stuffed | repeated | listed | in_attributes | hidden | doorway
-    content = (f["sentence_share"] > 0.7) & (f["known_share"] > 0.6) & (f["hidden_share"] < 0.1) & ((f["attr_words"] < 15) | (f["attr_known"] > 0.6)) & (f["skeleton_words"] < 0.2)
-    return np.where(spam, 1, np.where(content | (f["words"] == 0), 0, -1))
+    doorway = (f["skeleton_share"] > 0.4) & (f["blocks"] >= 3) & (f["same_line_share"] < 0.3)
+    return [stuffed, repeated, listed, in_attributes, hidden, doorway]
+
+
+def weak_labels(x: np.ndarray) -> np.ndarray:
+    """1 for a page with a sign of spam, 0 for one that is clearly content or has no main text, -1 undecided."""
+    f = {k: x[:, i] for i, k in enumerate(FEATURES)}
+    content = (f["sentence_share"] > 0.7) & (f["known_share"] > 0.6) & (f["hidden_share"] < 0.1) & ((f["attr_words"] < 15) | (f["attr_known"] > 0.6)) & (f["skeleton_share"] < 0.2)
+    return np.where(np.logical_or.reduce(signs(x)), 1, np.where(content | (f["words"] == 0), 0, -1))
 
 
 def fit(x: np.ndarray) -> list[trees.Tree]:

@@ -59,14 +59,15 @@ def grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int = 6,
 
 
 def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 6, seed: int = 7) -> list[Tree]:
-    """One tree for each bootstrap sample; no rows give no trees."""
+    """One tree for each bootstrap sample, half of it of each label, so that rare kinds of the rare label are seen; no rows give no trees."""
     rng = np.random.default_rng(seed)
     if not len(y):
         return []
-    k = max(1, int(np.ceil(x.shape[1] * 0.5)))
+    k = max(1, int(np.ceil(x.shape[1] * 0.65)))
     out = []
     for _ in range(trees):
-        pick = rng.integers(0, len(y), len(y))
+        sides = [np.flatnonzero(y == v) for v in (0, 1) if (y == v).any()]
+        pick = np.concatenate([rng.choice(side, -(-len(y) // len(sides))) for side in sides])
         out.append(grow(x[pick], y[pick].astype(float), rng, depth, features=k))
     return out
 
