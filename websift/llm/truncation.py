@@ -39,15 +39,17 @@ def _endings(documents: DataFrame) -> DataFrame:
     earlier = F.filter(F.transform(F.split("bare", "\n"), lambda x: F.rtrim(x, F.lit(SPACES + "»"))), lambda x: x != "")
     d = d.withColumn("lines", F.transform(F.slice(earlier, 1, F.greatest(F.size(earlier) - 1, F.lit(0))), lambda x: F.right(x, F.lit(1))))
     closed = F.size(F.filter("lines", lambda x: x.isin(*".!?:…])")))
-    d = d.withColumn("loose_share", F.when(F.size("lines") >= 3, 1 - closed / F.size("lines")).otherwise(0.0))
+    d = d.withColumn("loose_share", F.when(F.size("lines") >= 6, 1 - closed / F.size("lines")).otherwise(0.0))
     d = d.withColumn("words", F.filter(F.split(F.lower("last_line"), r"[^\p{L}\p{M}\p{N}]+"), lambda x: x != ""))
     d = d.withColumn("sentence", F.trim(F.element_at(F.split("last_line", r"[.!?…]+[\"'»”)]*\s"), -1)))
     d = d.withColumn("comma", F.right("bare", F.lit(1)).isin(*",(“„«["))
     d = d.withColumn("whole", F.substring_index(F.rtrim("last_line", F.lit(SPACES + "»")), " ", -2).rlike(WHOLE) & ~F.col("comma"))
+    said = F.filter(F.split(F.lower("sentence"), r"[^\p{L}\p{M}\p{N}]+"), lambda x: x != "")
+    d = d.withColumn("stuffed", (F.size(said) >= 6) & (F.size(F.array_distinct(said)) <= 0.6 * F.size(said)))
     one_word = F.size(F.split(F.col("sentence"), r"[^\p{L}\p{M}\p{N}]+[\p{L}\p{M}\p{N}]")) <= 1
     return d.select(
         "doc_id", "source", F.char_length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.char_length("bare").alias("bare_chars"), F.octet_length("bare").alias("bare_bytes"),
-        "broken", "marked", "whole", "comma", "loose_share", "last_line", "sentence", F.size("words").alias("n_words"),
+        "broken", "marked", "whole", "comma", "stuffed", "loose_share", "last_line", "sentence", F.size("words").alias("n_words"),
         F.when(F.size("words") >= 1, F.element_at("words", -1)).alias("last"), F.when(one_word, ".").when(F.size("words") >= 2, F.element_at("words", -2)).alias("prev"),
     )
 
@@ -115,7 +117,8 @@ def truncated(documents: DataFrame, end_rate: float = 0.06, same_line: int = 3)
     reason: 'broken' (a torn entity, tag or character), 'word' (the last word is the start of one that usually stands there),
     'sentence' (sentences never end after the last two words), 'length' (no sentence end at a length where too many texts of the source end).
     Texts that end whole (sentence end, closing sign, number, address, tag, signature) or in a line in lower case of its own are not cut,
-    nor, by their length alone, those that end in a line that same_line texts of the source end in; nor are texts most of whose lines end open. Null, empty and blank texts, and null ids, give
+    nor, by their length alone, those that end in a line that same_line texts of the source end in; nor are texts of seven lines or more of which more than three quarters end open, nor a last
+    sentence that mostly repeats its words. Null, empty and blank texts, and null ids, give
     no row; a null source is a source of its own; repeated rows give one row.
     """
     ends = materialise(_endings(documents), "cut-endings")
@@ -136,7 +139,7 @@ def truncated(documents: DataFrame, end_rate: float = 0.06, same_line: int = 3)
     aside = own_line & F.col("last_line").rlike(r"^[•\s–-]*\p{Ll}") & ~F.col("comma")
     tagged = F.col("last_line").rlike(r"^[^\s,.!?:;|]+(,\s+[^\s,.!?:;|]+){2,}$")
     name = own_line & F.col("last_line").rlike(r"^\P{L}*\p{Lu}\p{Ll}+(\s+\p{Lu}\p{Ll}+){0,2}\P{L}*$") & (n == 0) & (longer == 0)
-    excluded = (F.col("loose_share") > 0.6) | aside | tagged | name
+    excluded = (F.col("loose_share") > 0.75) | F.col("stuffed") | aside | tagged | name
     usual = F.coalesce("usual", F.lit(False))
     word = (longer >= 2) & (n_end < F.greatest(F.lit(1), longer * 0.05)) & (n <= longer)
     never_ends = ((n >= 3) & (n_end <= n * F.lit(end_rate))) | ((n >= 1) & (n < 3) & (n_any >= 20) & (any_end <= n_any * 0.01))
