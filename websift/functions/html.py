@@ -239,12 +239,15 @@ PARSED = T.StructType(
 )
 
 
-def parse_pages(pages: DataFrame, strict_structure: bool = False) -> DataFrame:
+def parse_pages(pages: DataFrame, strict_structure: bool = False, columns: tuple[str, ...] = ("meta", "nodes", "hrefs", "body_text")) -> DataFrame:
     """One row a page with its meta, body nodes, raw hrefs in document order and body text (node texts parted by a line feed).
 
     Null html gives empty meta and a lone body node. strict_structure leaves out the pages that a one-level search for the
-    body can't read.
+    body can't read. Only the columns asked for leave Python. Pages that come in fewer partitions than there are cores (one small
+    file) are spread first; a larger input is parsed where it is read, without a shuffle.
     """
+    schema = T.StructType([f for f in PARSED if f.name in ("page_id", "url", *columns)])
+    names = schema.names
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -254,7 +257,16 @@ def parse_pages(pages: DataFrame, strict_structure: bool = False) -> DataFrame:
                     continue
                 root = parse(html)
                 body = nodes(root.children[1])
-                rows.append((page_id, url, meta(root), body, [x["attrs"]["href"] for x in body if x["tag"] == "a" and "href" in x["attrs"]], "\n".join(x["text"] for x in body if x["text"])))
-            yield pd.DataFrame(rows, columns=PARSED.names)
-
-    return pages.select("page_id", "url", "html").mapInPandas(run, PARSED)
+                made = {"page_id": page_id, "url": url, "nodes": body}
+                if "meta" in names:
+                    made["meta"] = meta(root)
+                made["hrefs"] = [x["attrs"]["href"] for x in body if x["tag"] == "a" and "href" in x["attrs"]]
+                made["body_text"] = "\n".join(x["text"] for x in body if x["text"])
+                rows.append([made[n] for n in names])
+            yield pd.DataFrame(rows, columns=names)
+
+    rows = pages.select("page_id", "url", "html")
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:
+        rows = rows.repartition(cores)
+    return rows.mapInPandas(run, schema)

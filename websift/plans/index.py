@@ -17,7 +17,7 @@ def build(pages: DataFrame, log: DataFrame | None, folder: str, max_steps: int =
 
     page_key is the key of the page's URL. log: the URL-state log whose redirects replace link targets.
     """
-    parsed = materialise(parse_pages(pages).select(key_hex(F.col("url")).alias("page_key"), "url", "body_text", links_of("url", "hrefs").alias("links")), "parsed")
+    parsed = materialise(parse_pages(pages, columns=("hrefs", "body_text")).select(key_hex(F.col("url")).alias("page_key"), "url", "body_text", links_of("url", "hrefs").alias("links")), "parsed")
     postings.write_index(postings.postings(parsed, "page_key", "body_text"), f"{folder}/postings")
     raw = parsed.select(F.col("page_key").alias("src"), F.explode("links").alias("to")).select("src", key_hex(F.col("to")).alias("dst"))
     moved = None if log is None else state.redirect_targets(state.current(log)).select(F.col("url_key").alias("src"), F.col("target").alias("dst"))

@@ -155,7 +155,7 @@ BODY = r"""regexp_replace(regexp_replace(regexp_extract(html, '(?s)<body[^>]*>(.
 
 @query(f"""WITH {_words_sql(f"(SELECT page_id, {BODY} AS body FROM pages)", "page_id", "body")} SELECT word, k AS page_id, count(*)::DOUBLE AS tf FROM w GROUP BY word, k""")
 def page_text_postings(spark: SparkSession, d: str) -> DataFrame:
-    return postings.postings(html.parse_pages(read(spark, d, "pages")).select("page_id", "body_text"), "page_id", "body_text")
+    return postings.postings(html.parse_pages(read(spark, d, "pages"), columns=("body_text",)).select("page_id", "body_text"), "page_id", "body_text")
 
 
 UNESCAPE = "replace(replace(replace(replace(replace({}, '&#x27;', ''''), '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
@@ -163,19 +163,19 @@ UNESCAPE = "replace(replace(replace(replace(replace({}, '&#x27;', ''''), '&quot;
 
 @query(f"SELECT page_id, {UNESCAPE.format("regexp_extract(html, '(?s)<html lang=\"([^\"]*)\"', 1)")} AS lang, {UNESCAPE.format("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS title FROM pages")
 def page_heads(spark: SparkSession, d: str) -> DataFrame:
-    return html.parse_pages(read(spark, d, "pages")).select("page_id", "meta.lang", "meta.title")
+    return html.parse_pages(read(spark, d, "pages"), columns=("meta",)).select("page_id", "meta.lang", "meta.title")
 
 
 @query(f"SELECT page_id, {UNESCAPE.format('href')} AS href, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*?href=\"([^\"]*)\"', 1)) AS href FROM pages) GROUP BY ALL")
 def page_hrefs(spark: SparkSession, d: str) -> DataFrame:
-    parsed = html.parse_pages(read(spark, d, "pages")).select("page_id", F.explode("hrefs").alias("href"))
+    parsed = html.parse_pages(read(spark, d, "pages"), columns=("hrefs",)).select("page_id", F.explode("hrefs").alias("href"))
     return parsed.groupBy("page_id", "href").agg(F.count("*").alias("n"))
 
 
 @query()
 def page_links(spark: SparkSession, d: str) -> DataFrame:
     """Resolved links with their parents, each once a page."""
-    return html.parse_pages(read(spark, d, "pages")).select("page_id", F.explode(urls.links_of("url", "hrefs")).alias("link"))
+    return html.parse_pages(read(spark, d, "pages"), columns=("hrefs",)).select("page_id", F.explode(urls.links_of("url", "hrefs")).alias("link"))
 
 
 @query("SELECT page_id, url FROM pages JOIN page_meta USING (page_id) WHERE NOT no_index AND lower(langage) IN ('fr', 'fr-fr')")
