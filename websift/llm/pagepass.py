@@ -143,10 +143,10 @@ class Pass:
         for i, t in zip(hints.tolist(), texts.take(pa.array(hints)).to_pylist(), strict=True):
             found[pages[i]] |= residue.has_leftover(t)
         own_line = main & ~p.flag[at]
-        cheap = np.asarray(pc.match_substring_regex(pc.utf8_lower(texts), SUSPECT)) & ~p.flag[at]
-        # Only suspect lines can match, so a page is judged line by line only if they could cover enough of it.
-        could = np.bincount(pages[cheap & own_line], chars[cheap & own_line], n) >= 0.5 * main_chars
-        suspect = (np.bincount(pages[cheap & (own_line | ~linked)], minlength=n) > 0) & (could | (main_chars < 400))
+        # The judge sees every distinct line that counts; a page is judged as a whole only if one of its lines matches.
+        judged = np.flatnonzero(own_line | (~linked & ~p.flag[at]))
+        match = self.judge.matches(texts.take(pa.array(judged)))
+        suspect = np.bincount(pages[judged[match]], minlength=n) > 0
         look = np.flatnonzero(~found & suspect)
         bounds = np.searchsorted(pages, np.stack([look, look + 1]))
         for k, a, b in zip(look.tolist(), *bounds.tolist(), strict=True):
@@ -206,14 +206,6 @@ class Pass:
 MARGIN = 4.0
 #: What share of a line's words the samples of its language must hold.
 SEEN_SHARE = 0.3
-#: A cheap test of lower-case text that each message, notice or filler line passes.
-SUSPECT = "|".join(
-    ["not found", "error", "script", "cookie", "browser", "naviga", "server", "gateway", "passerelle", "pasarela", "request", "requ[eê]te", "anfragen", "peticiones", "richieste", "verzoeken", "access", "acc[eè]s", "acceso", "accesso", "zugriff", "zugang", "toegang",
-     "session", "sesi[oó]n", "sessione", "sitzung", "sessie", "account", "compte", "konto", "cuenta", "wrong", "schief", "mal pass", "storto", "mis", "salido mal", "sali[oó] mal", "maint", "wartung", "mantenimiento", "manutenzione", "onderhoud",
-     "found", "introuvable", "trouv", "gefunden", "encontr", "trovat", "gevonden", "database", "donn[ée]es", "fatal", "trace", "sql", "exception", "undefined", "timeout", "blocked", "bloqu", "blocca", "gesperrt", "geblok", "denied", "click", "clic", "klick", "klik", "text", "section",
-     "secci", "sezione", "sectie", "abschnitt", "complet", "erg[äa]nz", "sample", "exemple", "muster", "muestra", "esempio", "voorbeeld", "insert", "ins[eé]r", "inser", "einf[uü]g", "voeg", "lorem", "ipsum", "dolor", "adipis", "asdf", "test", "xxx", "foo", "bla", "forbidden", "domain",
-     "publi", "placeholder", "blind", "aliq", "conse", "ullam", "nostr", "commod", "incid", "hello", "qwer", "redac", "r[ée]daction", "redaktion", "redazione", "redactie", "keine", "suspend", "sospes", "opgeschort", "error", "serveur", "servid", "skript", "veniam", "irur", "elit"]
-)
 
 
 def _lists(owner: np.ndarray, values: np.ndarray, n: int) -> list[list]:

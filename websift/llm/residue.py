@@ -133,6 +133,11 @@ class Judge:
         clean = " ".join(text.lower().replace("’", "'").split())
         return covered(self.matcher, clean) >= self.line_share * max(len(clean), 1) or is_dummy(text)
 
+    def matches(self, texts) -> np.ndarray:  # noqa: ANN001
+        """line_matches for an Arrow array of texts; equal texts are looked at once."""
+        lines = texts.dictionary_encode()
+        return np.array([self.line_matches(t) for t in lines.dictionary.to_pylist()], bool)[lines.indices.to_numpy()]
+
     def replaces_content(self, main: list[str], other: list[str]) -> bool:
         """Whether messages and filler make up most of the page's main text. other: lines outside the main body, which count only if they match."""
         hit = total = 0
