@@ -161,3 +161,10 @@ def test_every_phrase_reaches_the_judge():
     assert main_lines(["503 Service Unavailable", "The service is temporarily unavailable. Please try again later."])
     assert main_lines(["TODO TBD"]) and main_lines(["Page not found", "Ref " + "0b6e97f0 / " * 60])
     assert not main_lines(["The story", *EN])
+
+
+def test_repeated_message_in_place_of_content():
+    assert main_lines(["Service unavailable", "Ref 0b6e97f0 / 460"], flags=[0])
+    assert main_lines(["{{ title }}"], flags=[0])
+    assert not main_lines(["The story", *EN, "Please enable JavaScript to view this page", "{{ title }}"], flags=[4, 5])
+    assert not main_lines(["Subscribe to our newsletter"], flags=[0])

@@ -139,12 +139,18 @@ class Pass:
         main_chars = np.bincount(pages[main], chars[main], n)
         in_code = p.inherit(p.tag_is("code", "pre", "kbd", "samp"), np.logical_or)[at]
         linked = p.inherit(p.tag_is("a"), np.logical_or)[at]
-        hints = np.flatnonzero(residue.array_hint(texts) & ~in_code & ~p.flag[at] & (main | ((main_chars[pages] < 200) & ~linked)))
+        # On a page without other main text, a repeated line outside menus, links and notices may stand in place of content.
+        counted = main & ~np.asarray(pc.match_substring_regex(texts, REFERENCE))
+        empty = np.bincount(pages[counted], chars[counted], n) == 0
+        beside = p.inherit(p.tag_is("nav", "header", "footer", "aside", "noscript", "button", "form", "label"), np.logical_or)[at]
+        in_place = p.flag[at] & empty[pages] & ~linked & ~beside
+        open_line = (~p.flag[at] & ~linked) | in_place
+        hints = np.flatnonzero(residue.array_hint(texts) & ~in_code & ((main & ~p.flag[at]) | ((main_chars[pages] < 200) & open_line) | in_place))
         for i, t in zip(hints.tolist(), texts.take(pa.array(hints)).to_pylist(), strict=True):
             found[pages[i]] |= residue.has_leftover(t)
         own_line = main & ~p.flag[at]
         # The judge sees every distinct line that counts; a page is judged as a whole only if one of its lines matches.
-        judged = np.flatnonzero(own_line | (~linked & ~p.flag[at]))
+        judged = np.flatnonzero(own_line | open_line)
         match = self.judge.matches(texts.take(pa.array(judged)))
         suspect = np.bincount(pages[judged[match]], minlength=n) > 0
         look = np.flatnonzero(~found & suspect)
@@ -152,7 +158,7 @@ class Pass:
         for k, a, b in zip(look.tolist(), *bounds.tolist(), strict=True):
             idx = np.arange(a, b)
             inside = idx[own_line[a:b]]
-            outside = idx[~own_line[a:b] & ~p.flag[at[a:b]] & ~linked[a:b]]
+            outside = idx[~own_line[a:b] & open_line[a:b]]
             found[k] = self.judge.replaces_content(texts.take(pa.array(inside)).to_pylist(), texts.take(pa.array(outside)).to_pylist())
         #: A message or filler in place of content is no keyword stuffing.
         self.in_text = found
@@ -202,6 +208,8 @@ class Pass:
         out["label"] = [langid.declared(labels.get(k)) for k in page_ids.tolist()]
 
 
+#: A reference number such as stands on an error page; alone it is no content.
+REFERENCE = r"(?i)^[^\p{L}\p{N}]*(ref|ray|id|code|error|request|incident)\b[\s:#.]*[\w/ :-]*$"
 #: How much a line's own language must win by, in log-probability.
 MARGIN = 4.0
 #: What share of a line's words the samples of its language must hold.
