@@ -55,3 +55,14 @@ def test_hazards(spark):
 def test_nothing(spark):
     docs = spark.createDataFrame([], DOCS)
     assert truncation.truncated(docs).count() == 0 and truncation.cut_shares(docs, truncation.truncated(docs)).count() == 0
+
+
+def test_whole_looking_ends_at_a_limit(spark):
+    rng = random.Random(7)
+    rows = [(i, text(rng, 3 + i % 6), "cut", "x") for i in range(300)] + [(1000 + i, text(rng, 9)[:500], "cut", "x") for i in range(60)]
+    ends = {2000: " (Sobaru, 25.2.20", 2001: " It took 800 hours, 43", 2002: " They bring three things:", 3000: " It closed early (2.3.2020).", 3001: " 東の港で小さな市が開かれる。"}
+    rows += [(k, text(rng, 9)[: 500 - len(t)] + t, "cut", "x") for k, t in ends.items()]
+    rows += [(2003, ("東の港で小さな市が開かれる。" * 50)[:500 - 5] + "東の港で小", "cut", "x")]
+    rows += [(3002, text(rng, 4) + ends[2000] + "2", "cut", "x"), (3003, "東の港で小さな市が開かれる", "cut", "x")]
+    got = {r.doc_id for r in truncation.truncated(spark.createDataFrame(rows, DOCS)).collect()}
+    assert {k for k in got if k >= 2000} == {2000, 2001, 2002, 2003}

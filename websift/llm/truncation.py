@@ -13,7 +13,9 @@ BROKEN = r"(&[a-zA-Z#0-9]{0,8}|</?[a-zA-Z]{0,8}|\x{FFFD}+)$"
 #: A mark that some writers put after a cut, and others after a whole sentence.
 MARK = r"\s*(\[\s*(\.\.\.|…)\s*\]|\(\s*(\.\.\.|…)\s*\)|…|\.\.\.+)\s*$"
 #: Ends of whole texts: sentence ends, closing signs, numbers, addresses, tags, signatures.
-WHOLE = r"([.!?:;…»”)\]}'’\"*/=_~%>]|\p{N}|[\p{So}\p{Sk}\p{Sc}]|\p{Lo})$|(https?://|www\.)\S+$|(^|\s)[#@]\S+$|(^|\s)[-–—]\s*\p{Lu}\S+$|(^|\s)\S+\.(com|org|net|example|test|invalid|[a-z]{2})$"
+WHOLE = r"([.!?:;…。！？।؟۔»”)\]}'’\"*/=_~%>]|\p{N}|[\p{So}\p{Sk}\p{Sc}]|\p{Lo})$|(https?://|www\.)\S+$|(^|\s)[#@]\S+$|(^|\s)[-–—]\s*\p{Lu}\S+$|(^|\s)\S+\.(com|org|net|example|test|invalid|[a-z]{2})$"
+#: Ends that are whole even at a length where texts of the source are cut: a sentence end or a closing sign.
+CLOSED = r"[.!?…。！？।؟۔][\"'»”’」』)\]}]*$|[^\s(\[{«“„][)\]}»”」』\"]$"
 #: White space of Unicode, and marks that no one sees.
 SPACES = " \t\n\r\f\v\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\u200b\ufeff"
 #: Longer than any BROKEN or MARK ending.
@@ -38,18 +40,23 @@ def _endings(documents: DataFrame) -> DataFrame:
     d = d.withColumn("last_line", F.trim(F.substring_index("bare", "\n", -1)))
     earlier = F.filter(F.transform(F.split("bare", "\n"), lambda x: F.rtrim(x, F.lit(SPACES + "»"))), lambda x: x != "")
     d = d.withColumn("lines", F.transform(F.slice(earlier, 1, F.greatest(F.size(earlier) - 1, F.lit(0))), lambda x: F.right(x, F.lit(1))))
-    closed = F.size(F.filter("lines", lambda x: x.isin(*".!?:…])")))
+    closed = F.size(F.filter("lines", lambda x: x.isin(*".!?:…])。！？।؟۔")))
     d = d.withColumn("loose_share", F.when(F.size("lines") >= 6, 1 - closed / F.size("lines")).otherwise(0.0))
     d = d.withColumn("words", F.filter(F.split(F.lower("last_line"), r"[^\p{L}\p{M}\p{N}]+"), lambda x: x != ""))
-    d = d.withColumn("sentence", F.trim(F.element_at(F.split("last_line", r"[.!?…]+[\"'»”)]*\s"), -1)))
+    d = d.withColumn("sentence", F.trim(F.element_at(F.split("last_line", r"[.!?…]+[\"'»”)]*\s|[。！？]+[」』）]*"), -1)))
     d = d.withColumn("comma", F.right("bare", F.lit(1)).isin(*",(“„«["))
     d = d.withColumn("whole", F.substring_index(F.rtrim("last_line", F.lit(SPACES + "»")), " ", -2).rlike(WHOLE) & ~F.col("comma"))
+    held = lambda signs: F.char_length("last_line") - F.char_length(F.translate("last_line", signs, ""))
+    unclosed = F.lit(False)
+    for a, b in ("()", "[]", "{}", "（）", "「」", "“”"):
+        unclosed |= held(a) > held(b)
+    d = d.withColumn("closed", F.rtrim("last_line", F.lit(SPACES)).rlike(CLOSED) & ~unclosed & ~F.col("comma"))
     said = F.filter(F.split(F.lower("sentence"), r"[^\p{L}\p{M}\p{N}]+"), lambda x: x != "")
     d = d.withColumn("stuffed", (F.size(said) >= 6) & (F.size(F.array_distinct(said)) <= 0.6 * F.size(said)))
     one_word = F.size(F.split(F.col("sentence"), r"[^\p{L}\p{M}\p{N}]+[\p{L}\p{M}\p{N}]")) <= 1
     return d.select(
         "doc_id", "source", F.char_length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.char_length("bare").alias("bare_chars"), F.octet_length("bare").alias("bare_bytes"),
-        "broken", "marked", "whole", "comma", "stuffed", "loose_share", "last_line", "sentence", F.size("words").alias("n_words"),
+        "broken", "marked", "whole", "closed", "comma", "stuffed", "loose_share", "last_line", "sentence", F.size("words").alias("n_words"),
         F.when(F.size("words") >= 1, F.element_at("words", -1)).alias("last"), F.when(one_word, ".").when(F.size("words") >= 2, F.element_at("words", -2)).alias("prev"),
     )
 
@@ -116,8 +123,9 @@ def truncated(documents: DataFrame, end_rate: float = 0.06, same_line: int = 3)
 
     reason: 'broken' (a torn entity, tag or character), 'word' (the last word is the start of one that usually stands there),
     'sentence' (sentences never end after the last two words), 'length' (no sentence end at a length where too many texts of the source end).
-    Texts that end whole (sentence end, closing sign, number, address, tag, signature) or in a line in lower case of its own are not cut,
-    nor, by their length alone, those that end in a line that same_line texts of the source end in; nor are texts of seven lines or more of which more than three quarters end open, nor a last
+    Texts that end whole (sentence end, closing sign, number, address, tag, signature) or in a line in lower case of its own are not cut;
+    at a length where too many texts of the source end, only a sentence end or closing sign with no bracket left open is whole. Not cut are,
+    by their length alone, those that end in a line that same_line texts of the source end in; nor are texts of seven lines or more of which more than three quarters end open, nor a last
     sentence that mostly repeats its words. Null, empty and blank texts, and null ids, give
     no row; a null source is a source of its own; repeated rows give one row.
     """
@@ -127,12 +135,13 @@ def truncated(documents: DataFrame, end_rate: float = 0.06, same_line: int = 3)
     limits = hazards(lengths)
     limits = small(materialise(limits.groupBy("source").agg(F.collect_set(F.concat_ws(":", "unit", "length")).alias("limits")), "cut-limits"))
     key = F.xxhash64(line_text(F.col("last_line")))
-    open_ends = ends.where(F.col("broken") | ~F.col("whole"))
+    held = ends.join(limits.withColumnRenamed("source", "s3"), F.col("source").eqNullSafe(F.col("s3")), "left").drop("s3")
+    at_limit = F.coalesce(F.arrays_overlap("limits", F.array(*[F.concat_ws(":", F.lit(u), F.col(c)) for u, c in units])), F.lit(False))
+    open_ends = held.withColumn("at_limit", at_limit).where(F.col("broken") | ~F.col("whole") | (F.col("at_limit") & ~F.col("closed")))
     common = small(materialise(ends.groupBy("source", key.alias("line")).agg(F.count_distinct("doc_id").alias("k")).where(F.col("k") >= same_line).select("source", "line", F.lit(True).alias("usual")), "cut-usual"))
     seen = continuations(documents, open_ends.where("prev is not null and last is not null"))
     x = open_ends.withColumn("line", key)
     x = x.join(common.withColumnRenamed("source", "s2").withColumnRenamed("line", "l2"), (F.col("line") == F.col("l2")) & F.col("source").eqNullSafe(F.col("s2")), "left").drop("s2", "l2")
-    x = x.join(limits.withColumnRenamed("source", "s3"), F.col("source").eqNullSafe(F.col("s3")), "left").drop("s3")
     x = x.join(small(materialise(seen, "cut-seen")), ["prev", "last"], "left")
     n, n_end, longer, n_any, any_end = (F.coalesce(F.col(c), F.lit(0)) for c in ("n", "n_end", "n_longer", "n_any", "n_any_end"))
     own_line = F.col("sentence") == F.col("last_line")
@@ -144,7 +153,7 @@ def truncated(documents: DataFrame, end_rate: float = 0.06, same_line: int = 3)
     word = (longer >= 2) & (n_end < F.greatest(F.lit(1), longer * 0.05)) & (n <= longer)
     never_ends = ((n >= 3) & (n_end <= n * F.lit(end_rate))) | ((n >= 1) & (n < 3) & (n_any >= 20) & (any_end <= n_any * 0.01))
     sentence = never_ends | F.col("comma")
-    at_limit = F.coalesce(F.arrays_overlap("limits", F.array(*[F.concat_ws(":", F.lit(u), F.col(c)) for u, c in units])), F.lit(False))
+    at_limit = F.col("at_limit")
     unseen = (n == 0) & (longer == 0)
     in_text = ~own_line | (F.col("n_words") >= 4)
     reason = (
