@@ -53,3 +53,14 @@ def test_remove(spark):
     rows = [(p, "h", n, t, "x") for p in range(5) for n, t in enumerate(["alpha", f"own {chr(97 + p)}{chr(99 + p)} text"])]
     df = spark.createDataFrame(rows, NODES)
     assert {r.node_id for r in lines.remove_lines(df, lines.repeated_lines(df, max_filled_words=0)[0]).collect()} == {1}
+
+
+def test_filled_long_lines(spark, monkeypatch):
+    names = ["Ana Bol", "Cid", "Dan Eck", "Fay Gil", "Hal Ivo", "Jon Kay"]
+    notice = "All texts on this page are the property of {} and may not be copied in whole or in part without a written permission"
+    article = "of and the {0}a {0}b {0}c {0}d in {0}e {0}f {0}g to {0}h {0}i {0}j {0}k a {0}l"
+    rows = [(p, "h", 1, notice.format(n), "x") for p, n in enumerate(names)] + [(p, "h", 2, article.format("abcdef"[p] * 3), "x") for p in range(6)]
+    df = spark.createDataFrame(rows, NODES)
+    assert found(df) == [(p, 1) for p in range(6)]
+    monkeypatch.setattr(lines, "BROADCAST_ROWS", -1)
+    assert found(df) == [(p, 1) for p in range(6)]

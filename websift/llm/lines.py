@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,14 +25,14 @@ def line_text(text: Column) -> Column:
 
 
 def site_lines(nodes: DataFrame, max_filled_words: int = 12) -> DataFrame:
-    """page_id, node_id, site, line, words: one row a node whose text has a letter. site and line are 64-bit hashes.
+    """page_id, node_id, site, line, words, long: one row a node whose text has a letter. site and line are 64-bit hashes.
 
-    words holds the line itself where it has at most max_filled_words words, as only such lines are looked at for a filled-in name.
+    words holds the line itself, unless max_filled_words is 0 and no filled-in name is looked for; long: it has more words than that.
     """
     words = line_text(F.col("text"))
     rows = nodes.where("text is not null and host_name is not null").select("page_id", "node_id", F.xxhash64("host_name").alias("site"), words.alias("w")).where("w <> ''")
-    short = F.char_length("w") - F.char_length(F.replace("w", F.lit(" "), F.lit(""))) < max_filled_words
-    return rows.select("page_id", "node_id", "site", F.xxhash64("w").alias("line"), F.when(short, F.col("w")).alias("words"))
+    long = F.char_length("w") - F.char_length(F.replace("w", F.lit(" "), F.lit(""))) >= max_filled_words
+    return rows.select("page_id", "node_id", "site", F.xxhash64("w").alias("line"), F.when(F.lit(max_filled_words > 0), F.col("w")).alias("words"), long.alias("long"))
 
 
 def thresholds(nodes: DataFrame, min_pages: int, min_share: float) -> DataFrame:
@@ -63,12 +66,53 @@ def filled_lines(lines: DataFrame, least: DataFrame) -> DataFrame:
     return made.select("page_id", "node_id", "site", F.xxhash64("s").alias("line"))
 
 
+def filled_long_lines(lines: DataFrame, least: DataFrame) -> DataFrame:
+    """As filled_lines, for lines of any length: their words are counted apart from those of short lines, and at least half the words are fixed.
+
+    A sentence that is mostly other words is no fixed sentence; a long line of rare words around one 'the' would else be one. The fixed
+    words of the sites are looked up in memory where they are few, so that the words of article text are not shuffled.
+    """
+    rows = lines.where("words is not null").select("page_id", "node_id", "site", "words")
+    counted = rows.select("site", F.explode(F.array_distinct(F.split("words", " "))).alias("word")).groupBy("site", "word").agg(F.count("*").alias("n"))
+    fixed = materialise(counted.join(least, "site").where("n >= least").select("site", "word"), "fixed-long-words")
+    if fixed.count() <= BROADCAST_ROWS:
+        known: dict[int, set[str]] = {}
+        for r in fixed.collect():  # at most BROADCAST_ROWS narrow rows
+            known.setdefault(r.site, set()).add(r.word)
+        made = rows.mapInArrow(lambda batches: _blanked(batches, known), "page_id long, node_id int, site long, s string")
+    else:
+        parts = rows.select("page_id", "node_id", "site", F.posexplode(F.split("words", " ")).alias("at", "word")).join(fixed.withColumn("fixed", F.lit(True)), ["site", "word"], "left")
+        sentence = F.array_sort(F.collect_list(F.struct("at", F.when(F.col("fixed"), F.col("word")).otherwise("*").alias("word"))))
+        made = parts.groupBy("page_id", "node_id", "site").agg(sentence.alias("s"), F.count("*").alias("n"), F.count("fixed").alias("k")).where("k < n and 2 * k >= n")
+        made = made.select("page_id", "node_id", "site", F.regexp_replace(F.array_join(F.transform("s", lambda x: x["word"]), " "), r"\*( \*)+", "*").alias("s"))
+    return made.select("page_id", "node_id", "site", F.xxhash64("s").alias("line"))
+
+
+def _blanked(batches: Iterator[pa.RecordBatch], known: dict[int, set[str]]) -> Iterator[pa.RecordBatch]:
+    """The lines with one blank for each run of words that are not known; those with nothing blank or less than half known are dropped."""
+    for b in batches:
+        keep, made = [], []
+        for i, (site, line) in enumerate(zip(b["site"].to_pylist(), b["words"].to_pylist(), strict=True)):
+            have, words, out, n = known.get(site, ()), line.split(" "), [], 0
+            for w in words:
+                if w in have:
+                    out.append(w)
+                    n += 1
+                elif not out or out[-1] != "*":
+                    out.append("*")
+            if n < len(words) <= 2 * n:
+                keep.append(i)
+                made.append(" ".join(out))
+        kept = b.select(["page_id", "node_id", "site"]).take(pa.array(keep, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(made, pa.string())], names=["page_id", "node_id", "site", "s"])
+
+
 def repeated_lines(nodes: DataFrame, min_pages: int = 3, min_share: float = 0.2, max_length: int = 1, max_filled_words: int = 12) -> tuple[DataFrame, DataFrame]:
     """(occurrences, patterns): page_id, node_id of every line in a frequent sequence; site, lines, pages of the frequent sequences.
 
     A sequence of lines is frequent if it stands, line after line once all rare lines are left out, on at least min_pages
     pages and min_share of all pages of its site. Lines are the same if they differ only in case, white space, punctuation,
-    bullets, digits or the name filled into a sentence of at most max_filled_words words. Nodes without host, without text or
+    bullets, digits or the name filled into a sentence; of sentences of more than max_filled_words words at least half has to be fixed. Nodes without host, without text or
     without a letter are no lines; repeated rows count once; an empty table has no lines.
 
     Method: distributed PrefixSpan over the line identifiers of each site. Level 1 is a distinct count of pages. The lines
@@ -83,7 +127,8 @@ def repeated_lines(nodes: DataFrame, min_pages: int = 3, min_share: float = 0.2,
     one = small(single)
     same = lines.join(one.select("site", "line"), ["site", "line"], "left_semi").select("page_id", "node_id", "site", "line")
     rare = lines.where("words is not null").join(one.select("site", "line"), ["site", "line"], "left_anti")
-    filled = materialise(filled_lines(rare, small(least)), "line-filled")
+    filled = filled_lines(rare.where("not long"), small(least)).unionByName(filled_long_lines(rare.where("long"), small(least)))
+    filled = materialise(filled, "line-filled")
     single_filled = materialise(_supported(filled, ["site", "line"], small(least)), "line-templates")
     filled = filled.join(small(single_filled).select("site", "line"), ["site", "line"], "left_semi")
     hits = same.unionByName(filled)
