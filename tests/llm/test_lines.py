@@ -7,7 +7,7 @@ NODES = "page_id long, host_name string, node_id int, text string, line string"
 
 
 def found(df, **kw):
-    return sorted((r.page_id, r.node_id) for r in lines.repeated_lines(df, **kw)[0].collect())
+    return sorted((r.page_id, r.node_id) for r in lines.repeated_lines(df, **kw).collect())
 
 
 def test_same_lines(spark):
@@ -43,16 +43,44 @@ def test_against_brute_force(spark):
     assert [x for x in found(spark.createDataFrame(rows, NODES), max_filled_words=0)] == want
 
 
+def sequences(df, **kw):
+    return sorted((len(r["lines"]), r["pages"]) for r in lines.frequent_sequences(df, **kw).collect())
+
+
 def test_sequences(spark):
-    rows = [(p, "h", n, t, "x") for p in range(10) for n, t in enumerate(["alpha", f"rare {chr(97 + p)}{chr(98 + p)}", "beta", "gamma"])] + [(p, "h", 0, "beta", "x") for p in range(10, 14)]
-    patterns = lines.repeated_lines(spark.createDataFrame(rows, NODES), max_length=3, max_filled_words=0)[1].collect()
-    assert sorted((len(r["lines"]), r["pages"]) for r in patterns) == [(1, 10), (1, 10), (1, 14), (2, 10), (2, 10), (3, 10)]
+    # Five lines in order on every page, with another rare and another frequent line between them.
+    five = ["alpha", "beta", "gamma", "delta", "epsilon"]
+    rows = [(p, "h", 10 * n, t, "x") for p in range(10) for n, t in enumerate(five)]
+    rows += [(p, "h", 15, f"rare {chr(97 + p)}{chr(98 + p)}", "x") for p in range(10)] + [(p, "h", 1 + 10 * (p % 4), "share", "x") for p in range(10)] + [(p, "h", 0, "beta", "x") for p in range(10, 14)]
+    got = sequences(spark.createDataFrame(rows, NODES), max_filled_words=0)
+    assert (5, 10) in got and (1, 14) in got
+    assert max(n for n, _ in got) == 6
+    assert sequences(spark.createDataFrame([], NODES)) == []
+
+
+def test_sequences_against_brute_force(spark):
+    import itertools
+
+    rng = random.Random(11)
+    pages = [("s", [rng.randrange(6) for _ in range(rng.randrange(7))], rng.randrange(1, 3)) for _ in range(14)] + [("t", [1, 2, 3, 4], 5), ("t", [1, 9, 3, 4], 2)]
+    got = lines.prefix_span(spark.createDataFrame([(0 if s == "s" else 1, r, n) for s, r, n in pages], "site bigint, rest array<bigint>, n bigint"), spark.createDataFrame([(0, 4), (1, 3)], "site bigint, least bigint"))
+    got = {(r.site, tuple(r["lines"])): r.pages for r in got.collect()}
+    support = {}
+    for s, r, n in pages:
+        for q in {c for k in range(1, len(r) + 1) for c in itertools.combinations(r, k)}:
+            support[int(s == "t"), q] = support.get((int(s == "t"), q), 0) + n
+    frequent = {k: v for k, v in support.items() if v >= (4, 3)[k[0]]}
+    inside = lambda a, b: a != b and all(x in it for it in [iter(b)] for x in a)
+    closed = {k: v for k, v in frequent.items() if not any(s == k[0] and w == v and inside(k[1], q) for (s, q), w in frequent.items())}
+    assert closed.items() <= got.items() <= frequent.items()
+    # What the sequences delete is what single lines delete.
+    assert {(s, x) for s, q in got for x in q} == {(s, q[0]) for s, q in frequent if len(q) == 1}
 
 
 def test_remove(spark):
     rows = [(p, "h", n, t, "x") for p in range(5) for n, t in enumerate(["alpha", f"own {chr(97 + p)}{chr(99 + p)} text"])]
     df = spark.createDataFrame(rows, NODES)
-    assert {r.node_id for r in lines.remove_lines(df, lines.repeated_lines(df, max_filled_words=0)[0]).collect()} == {1}
+    assert {r.node_id for r in lines.remove_lines(df, lines.repeated_lines(df, max_filled_words=0)).collect()} == {1}
 
 
 def test_filled_long_lines(spark, monkeypatch):

@@ -107,20 +107,8 @@ def _blanked(batches: Iterator[pa.RecordBatch], known: dict[int, set[str]]) -> I
         yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(made, pa.string())], names=["page_id", "node_id", "site", "s"])
 
 
-def repeated_lines(nodes: DataFrame, min_pages: int = 3, min_share: float = 0.2, max_length: int = 1, max_filled_words: int = 12) -> tuple[DataFrame, DataFrame]:
-    """(occurrences, patterns): page_id, node_id of every line in a frequent sequence; site, lines, pages of the frequent sequences.
-
-    A sequence of lines is frequent if it stands, line after line once all rare lines are left out, on at least min_pages
-    pages and min_share of all pages of its site. Lines are the same if they differ only in case, white space, punctuation,
-    bullets, digits or the name filled into a sentence; of sentences of more than max_filled_words words at least half has to be fixed. Nodes without host, without text or
-    without a letter are no lines; repeated rows count once; an empty table has no lines.
-
-    Method: distributed PrefixSpan over the line identifiers of each site. Level 1 is a distinct count of pages. The lines
-    below it are dropped from every sequence, as no frequent sequence holds them. A level grows the frequent prefixes by the
-    next line of each of their occurrences, counts pages and keeps the frequent ones. Supports only fall, so every line of
-    a longer sequence is a frequent sequence itself: the occurrences to delete are complete with level 1, and max_length only
-    says how long the reported patterns get.
-    """
+def _hits(nodes: DataFrame, min_pages: int, min_share: float, max_filled_words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(least pages of each site; page_id, node_id, site, line of every node with a frequent line; site, line, pages of the frequent lines)."""
     least = materialise(thresholds(nodes, min_pages, min_share), "line-least")
     lines = materialise(site_lines(nodes, max_filled_words), "lines")
     single = materialise(_supported(lines, ["site", "line"], small(least)), "line-single")
@@ -131,31 +119,82 @@ def repeated_lines(nodes: DataFrame, min_pages: int = 3, min_share: float = 0.2,
     filled = materialise(filled, "line-filled")
     single_filled = materialise(_supported(filled, ["site", "line"], small(least)), "line-templates")
     filled = filled.join(small(single_filled).select("site", "line"), ["site", "line"], "left_semi")
-    hits = same.unionByName(filled)
-    patterns = single.unionByName(single_filled).select("site", F.array("line").alias("lines"), "pages")
-    if max_length > 1:
-        hits = materialise(hits.distinct(), "line-hits")
-        patterns = patterns.unionByName(_grow(hits, least, max_length))
-    return hits.select("page_id", "node_id").distinct(), patterns
-
-
-def _grow(hits: DataFrame, least: DataFrame, max_length: int) -> DataFrame:
-    """The frequent sequences of 2 to max_length lines: the projected sequences are joined to the line that follows them."""
-    from pyspark.sql import Window
-
-    nxt = F.lead(F.struct("node_id", "line")).over(Window.partitionBy("page_id").orderBy("node_id"))
-    steps = materialise(hits.select("page_id", "site", "node_id", "line", nxt.alias("next")).where("next is not null").select("page_id", "site", "node_id", "line", F.col("next.node_id").alias("to"), F.col("next.line").alias("to_line")), "line-steps")
-    front = steps.select("page_id", "site", "to", F.array("line", "to_line").alias("lines"))
-    found = None
-    for k in range(2, max_length + 1):
-        level = materialise(_supported(front, ["site", "lines"], least), f"line-level{k}")
-        found = level if found is None else found.unionByName(level)
-        if k < max_length:
-            kept = front.join(level.select("site", "lines"), ["site", "lines"], "left_semi")
-            front = kept.join(steps.select("page_id", F.col("node_id").alias("to"), F.col("to").alias("after"), "to_line"), ["page_id", "to"]).select("page_id", "site", F.col("after").alias("to"), F.concat("lines", F.array("to_line")).alias("lines"))
+    return least, same.unionByName(filled), single.unionByName(single_filled)
+
+
+def repeated_lines(nodes: DataFrame, min_pages: int = 3, min_share: float = 0.2, max_filled_words: int = 12) -> DataFrame:
+    """page_id, node_id of every line that stands in a frequent sequence of lines of its site.
+
+    A sequence is frequent if it stands on at least min_pages pages and min_share of all pages of its site. Lines are the same if
+    they differ only in case, white space, punctuation, bullets, digits or the name filled into a sentence; of sentences of more than
+    max_filled_words words at least half has to be fixed. Nodes without host, without text or without a letter are no lines; repeated
+    rows count once; an empty table has no lines.
+
+    Method: the first level of distributed PrefixSpan over the line identifiers of each site (see frequent_sequences). A sequence never
+    stands on more pages than one of its parts, so each line of a frequent sequence of any length is a frequent sequence of one line:
+    what is to be deleted is complete with level one, and deeper levels are not run for it.
+    """
+    return _hits(nodes, min_pages, min_share, max_filled_words)[1].select("page_id", "node_id").distinct()
+
+
+def frequent_sequences(nodes: DataFrame, min_pages: int = 3, min_share: float = 0.2, max_filled_words: int = 12) -> DataFrame:
+    """site, lines, pages: the frequent sequences of lines of each site, of any length, that no longer one on the same pages begins with.
+
+    The lines of a sequence stand on a page in its order, other lines may stand between them. Method: PrefixSpan, see prefix_span.
+    """
+    least, hits, _ = _hits(nodes, min_pages, min_share, max_filled_words)
+    placed = F.array_sort(F.collect_set(F.struct("node_id", "line")))
+    pages = hits.groupBy("site", "page_id").agg(F.transform(placed, lambda x: x["line"]).alias("rest"))
+    # Pages with the same lines are one row with their number: the pages of a site mostly share their frame.
+    sequences = pages.groupBy("site", "rest").agg(F.count("*").alias("n"))
+    return prefix_span(sequences, least)
+
+
+def prefix_span(sequences: DataFrame, least: DataFrame) -> DataFrame:
+    """site, lines, pages. sequences: site, rest (lines in order), n (on how many pages); least: site, least (pages a sequence needs).
+
+    The projection of a prefix is what is left of each sequence after its first occurrence; equal rests are added up. A level first
+    takes what all rests of a prefix begin with (the common beginning of the smallest and the greatest) into the prefix at once: a
+    prefix continued in another way stands on the same pages with these lines between, so no closed sequence is lost. Then each
+    later line, at its first place in the rest, grows the prefix; the grown prefixes on enough pages are the next level, until none is
+    left. A prefix is given if no line grows it without losing a page. Supports are added up on the map side, and no step holds
+    the sequences of a site in one task. A prefix is known by its hash; each level is written to the shared folder.
+    """
+    spark = sequences.sparkSession
+    front = materialise(sequences.join(least, "site").select("site", F.expr("cast(array() as array<bigint>)").alias("lines"), "rest", "n", "least"), "span-front")
+    found = spark.createDataFrame([], "site bigint, lines array<bigint>, pages bigint")
+    while not front.isEmpty():
+        prefix = front.groupBy("site", "lines").agg(F.min("rest").alias("low"), F.max("rest").alias("high"), F.sum("n").alias("pages"), F.max("least").alias("least"))
+        shared = F.filter(F.sequence(F.lit(1), F.least(F.size("low"), F.size("high"))), lambda i: F.slice("low", 1, i) == F.slice("high", 1, i))
+        taken = F.when((F.size("low") > 0) & (F.size("high") > 0), F.size(shared)).otherwise(0)
+        # The empty prefix takes nothing in: it is no sequence itself.
+        prefix = prefix.withColumn("taken", F.when(F.size("lines") > 0, taken).otherwise(0))
+        prefix = materialise(prefix.select("site", "lines", "pages", "least", "taken", F.concat("lines", F.slice("low", F.lit(1), F.col("taken"))).alias("grown")), "span-prefix")
+        rests = front.select("site", "lines", "rest", "n").join(small(prefix), ["site", "lines"])
+        rests = rests.select("site", F.col("grown").alias("lines"), F.slice("rest", F.col("taken") + 1, F.greatest(F.size("rest") - F.col("taken"), F.lit(0))).alias("rest"), "n", "least")
+        grown = rests.select("site", "lines", "least", "rest", "n", F.explode(F.array_distinct("rest")).alias("line"))
+        after = F.array_position("rest", F.col("line")).cast("int")
+        grown = grown.select("site", "least", "n", F.col("lines").alias("prefix"), "line", F.slice("rest", after + 1, F.size("rest") - after).alias("rest"))
+        support = grown.groupBy("site", "prefix", "line").agg(F.sum("n").alias("pages"), F.max("least").alias("least")).where("pages >= least")
+        support = materialise(support.select("site", "prefix", "line", "pages"), "span-support")
+        closed = prefix.where("size(grown) > 0").select("site", F.col("grown").alias("prefix"), F.col("pages").alias("own"))
+        longer = support.groupBy("site", "prefix").agg(F.max("pages").alias("most"))
+        closed = closed.join(longer, ["site", "prefix"], "left").where("most is null or most < own")
+        found = found.unionByName(closed.select("site", F.col("prefix").alias("lines"), F.col("own").alias("pages")))
+        front = grown.join(small(support).select("site", "prefix", "line"), ["site", "prefix", "line"], "left_semi")
+        front = front.groupBy("site", F.concat("prefix", F.array("line")).alias("lines"), "rest").agg(F.sum("n").alias("n"), F.max("least").alias("least"))
+        front = materialise(front.select("site", "lines", "rest", "n", "least"), "span-front")
     return found
 
 
+def line_support(nodes: DataFrame, min_pages: int = 3, min_share: float = 0.2) -> DataFrame:
+    """host_name, line, pages: the lines, by their words in lower case, on enough pages of their site; without names filled in. The same lines that level one of repeated_lines counts."""
+    rows = nodes.where("text is not null and host_name is not null").select("host_name", "page_id", line_text(F.col("text")).alias("line")).where("line <> ''")
+    pages = nodes.where("host_name is not null").select("host_name", "page_id").distinct().groupBy("host_name").agg(F.count("*").alias("all_pages"))
+    support = rows.distinct().groupBy("host_name", "line").agg(F.count("*").alias("pages"))
+    return support.join(pages, "host_name").where(F.col("pages") >= F.greatest(F.lit(float(min_pages)), F.col("all_pages") * min_share - 1e-9)).select("host_name", "line", "pages")
+
+
 def remove_lines(nodes: DataFrame, occurrences: DataFrame) -> DataFrame:
     """The nodes without the repeated lines."""
     return nodes.join(occurrences, ["page_id", "node_id"], "left_anti")

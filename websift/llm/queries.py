@@ -27,7 +27,7 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def _pages(spark: SparkSession, d: str, parts: pagepass.Parts) -> DataFrame:
     nodes = _read(spark, d, "nodes")
-    repeated, _ = lines.repeated_lines(nodes)
+    repeated = lines.repeated_lines(nodes)
     return pagepass.analyse(nodes, _read(spark, d, "page_meta"), _read(spark, d, "documents"), _read(spark, d, "lang_samples"), lines.materialise(repeated, "repeated"), parts)
 
 
@@ -68,21 +68,21 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return lines.repeated_lines(_read(spark, d, "nodes"), max_length=3)[0]
+    return lines.repeated_lines(_read(spark, d, "nodes"))
 
 
 @query
 def p6_sequences(spark: SparkSession, d: str) -> DataFrame:
-    """The frequent sequences of up to three lines of every site, by line hashes, with the pages they stand on."""
-    patterns = lines.repeated_lines(_read(spark, d, "nodes"), max_length=3)[1]
-    return patterns.select("site", F.array_join(F.transform("lines", lambda x: x.cast("string")), " ").alias("lines"), F.size("lines").alias("n_lines"), "pages")
+    """The frequent sequences of lines of every site, by line hashes, with the pages they stand on."""
+    found = lines.frequent_sequences(_read(spark, d, "nodes"))
+    return found.select("site", F.array_join(F.transform("lines", lambda x: x.cast("string")), " ").alias("lines"), F.size("lines").alias("n_lines"), "pages")
 
 
 @query
 def p6_removed(spark: SparkSession, d: str) -> DataFrame:
     """The nodes with text that stay once the repeated lines are gone."""
     nodes = _read(spark, d, "nodes")
-    return lines.remove_lines(nodes.where("text is not null").select("page_id", "node_id", "text"), lines.repeated_lines(nodes)[0])
+    return lines.remove_lines(nodes.where("text is not null").select("page_id", "node_id", "text"), lines.repeated_lines(nodes))
 
 
 @query
