@@ -138,7 +138,7 @@ def repeated_lines(nodes: DataFrame, min_pages: int = 3, min_share: float = 0.2,
 
 
 def frequent_sequences(nodes: DataFrame, min_pages: int = 3, min_share: float = 0.2, max_filled_words: int = 12) -> DataFrame:
-    """site, lines, pages: the frequent sequences of lines of each site, of any length, that no longer one on the same pages begins with.
+    """site, lines, pages: the frequent sequences of lines of each site, of any length; those that only leave lines out of a longer one on the same pages may be absent.
 
     The lines of a sequence stand on a page in its order, other lines may stand between them. Method: PrefixSpan, see prefix_span.
     """
@@ -157,8 +157,10 @@ def prefix_span(sequences: DataFrame, least: DataFrame) -> DataFrame:
     takes what all rests of a prefix begin with (the common beginning of the smallest and the greatest) into the prefix at once: a
     prefix continued in another way stands on the same pages with these lines between, so no closed sequence is lost. Then each
     later line, at its first place in the rest, grows the prefix; the grown prefixes on enough pages are the next level, until none is
-    left. A prefix is given if no line grows it without losing a page. Supports are added up on the map side, and no step holds
-    the sequences of a site in one task. A prefix is known by its hash; each level is written to the shared folder.
+    left. A grown prefix is dropped, with all that begins with it, if on all its pages one and the same line stands between its last two
+    lines (or before its first): with that line in it, it and all that begins with it stand on the same pages. A prefix is given if no line
+    grows it without losing a page. So every closed sequence is given (one that no longer one on the same pages contains). Supports are added up on the map side, and no step holds
+    the sequences of a site in one task. Each level is written to the shared folder.
     """
     spark = sequences.sparkSession
     front = materialise(sequences.join(least, "site").select("site", F.expr("cast(array() as array<bigint>)").alias("lines"), "rest", "n", "least"), "span-front")
@@ -174,14 +176,17 @@ def prefix_span(sequences: DataFrame, least: DataFrame) -> DataFrame:
         rests = rests.select("site", F.col("grown").alias("lines"), F.slice("rest", F.col("taken") + 1, F.greatest(F.size("rest") - F.col("taken"), F.lit(0))).alias("rest"), "n", "least")
         grown = rests.select("site", "lines", "least", "rest", "n", F.explode(F.array_distinct("rest")).alias("line"))
         after = F.array_position("rest", F.col("line")).cast("int")
-        grown = grown.select("site", "least", "n", F.col("lines").alias("prefix"), "line", F.slice("rest", after + 1, F.size("rest") - after).alias("rest"))
+        grown = grown.select("site", "least", "n", F.col("lines").alias("prefix"), "line", F.slice("rest", after + 1, F.size("rest") - after).alias("rest"), F.slice("rest", F.lit(1), after - 1).alias("between"))
         support = grown.groupBy("site", "prefix", "line").agg(F.sum("n").alias("pages"), F.max("least").alias("least")).where("pages >= least")
         support = materialise(support.select("site", "prefix", "line", "pages"), "span-support")
+        grown = grown.join(small(support), ["site", "prefix", "line"])
+        always = grown.select("site", "prefix", "line", "pages", "n", F.explode(F.array_distinct("between")).alias("other")).groupBy("site", "prefix", "line", "other").agg(F.sum("n").alias("k"), F.max("pages").alias("pages"))
+        always = materialise(always.where("k = pages").select("site", "prefix", "line").distinct(), "span-always")
         closed = prefix.where("size(grown) > 0").select("site", F.col("grown").alias("prefix"), F.col("pages").alias("own"))
         longer = support.groupBy("site", "prefix").agg(F.max("pages").alias("most"))
         closed = closed.join(longer, ["site", "prefix"], "left").where("most is null or most < own")
         found = found.unionByName(closed.select("site", F.col("prefix").alias("lines"), F.col("own").alias("pages")))
-        front = grown.join(small(support).select("site", "prefix", "line"), ["site", "prefix", "line"], "left_semi")
+        front = grown.join(small(always), ["site", "prefix", "line"], "left_anti")
         front = front.groupBy("site", F.concat("prefix", F.array("line")).alias("lines"), "rest").agg(F.sum("n").alias("n"), F.max("least").alias("least"))
         front = materialise(front.select("site", "lines", "rest", "n", "least"), "span-front")
     return found
