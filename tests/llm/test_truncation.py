@@ -66,3 +66,24 @@ def test_whole_looking_ends_at_a_limit(spark):
     rows += [(3002, text(rng, 4) + ends[2000] + "2", "cut", "x"), (3003, "東の港で小さな市が開かれる", "cut", "x")]
     got = {r.doc_id for r in truncation.truncated(spark.createDataFrame(rows, DOCS)).collect()}
     assert {k for k in got if k >= 2000} == {2000, 2001, 2002, 2003}
+
+
+def test_marks_of_any_length(spark):
+    rng = random.Random(9)
+    rows = [(i, text(rng, 3 + i % 6), "cut", "x") for i in range(200)]
+    open_end = "The old harbour opens its doors again along the ca"
+    rows += [(2000, open_end + "." * 90, "cut", "x"), (2001, open_end + "\ufffd" * 90, "cut", "x"), (2002, open_end + " [" + " " * 60 + "..." + " " * 60 + "]", "cut", "x"), (2003, open_end + " " * 90 + "\u2026", "cut", "x")]
+    rows += [(3000, "The old harbour opens its doors again along the canal " + "." * 90, "cut", "x")]
+    got = {r.doc_id for r in truncation.truncated(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {2000, 2001, 2002, 2003}
+
+
+def test_hot_sentence_start(spark):
+    """A third of all word pairs begin a sentence; each asked word meets its own beginnings only."""
+    rows = [("." if i % 3 else f"w{i % 50}", f"{'abc'[i % 3]}{'xyz'[i % 7 % 3] * (i % 9)}", 1 + i % 4, i % 2) for i in range(3000)]
+    asked = [(".", "a"), (".", "bx"), ("w7", "cz"), (".", "none"), ("w7", "c")]
+    table = spark.createDataFrame(rows, "prev string, word string, n long, n_end long").groupBy("prev", "word").sum("n", "n_end").toDF("prev", "word", "n", "n_end")
+    got = {(r.prev, r.last): (r.n or 0, r.n_longer or 0, r.n_any or 0) for r in truncation.continuations(table, spark.createDataFrame(asked, "prev string, last string")).collect()}
+    for p, w in asked:
+        follow = [x for x in rows if x[0] == p and x[1].startswith(w)]
+        assert got[p, w] == (sum(x[2] for x in follow if x[1] == w), sum(x[2] for x in follow if x[1] != w), sum(x[2] for x in rows if x[1] == w))

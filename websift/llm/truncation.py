@@ -18,22 +18,28 @@ WHOLE = r"([.!?:;…。！？।؟۔»”)\]}'’\"*/=_~%>]|\p{N}|[\p{So}\p{Sk}\
 CLOSED = r"[.!?…。！？।؟۔][\"'»”’」』)\]}]*$|[^\s(\[{«“„][)\]}»”」』\"]$"
 #: White space of Unicode, and marks that no one sees.
 SPACES = " \t\n\r\f\v\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\u200b\ufeff"
-#: Longer than any BROKEN or MARK ending.
-MARK_CHARS = 32
+#: What marks and broken characters are made of, in runs of any length; before them an entity or tag of at most TORN_CHARS.
+MARK_SIGNS = SPACES + ".…[]()\ufffd"
+TORN_CHARS = 12
 
 
 def _rtrim(text: Column) -> Column:
     return F.rtrim(text, F.lit(SPACES))
 
 
+def _tail(text: Column) -> Column:
+    """The end of a text that BROKEN or MARK can match: the whole run of signs it ends in and TORN_CHARS before it."""
+    return F.right(text, F.char_length(text) - F.char_length(F.rtrim(text, F.lit(MARK_SIGNS))) + F.lit(TORN_CHARS))
+
+
 def _endings(documents: DataFrame) -> DataFrame:
     """doc_id, source, lengths and what the end of each text looks like. Texts that are null, empty or blank are left out.
 
-    Marks are at most MARK_CHARS long, so only that much of a text's end goes through the patterns for them; the other patterns see the last
-    line or its last words. The lengths are those of whole texts.
+    Marks stand at the end of a text, so only its last run of their signs goes through the patterns for them, however long it is; the other
+    patterns see the last line or its last words. The lengths are those of whole texts.
     """
     d = documents.where("text is not null and doc_id is not null").select("doc_id", "source", "text", _rtrim(F.col("text")).alias("t")).where("t <> ''")
-    d = d.withColumn("end", F.right("t", F.lit(MARK_CHARS)))
+    d = d.withColumn("end", _tail(F.col("t")))
     d = d.withColumn("broken", F.col("end").rlike(BROKEN)).withColumn("marked", F.col("end").rlike(MARK))
     stripped = F.when(F.col("broken") | F.col("marked"), F.regexp_replace(F.regexp_replace("end", BROKEN, ""), MARK, "")).otherwise(F.col("end"))
     d = d.withColumn("bare", _rtrim(F.concat(F.left("t", F.char_length("t") - F.char_length("end")), stripped)))
@@ -87,30 +93,37 @@ def hazards(lengths: DataFrame, neighbours: int = 25, rate: float = 0.01, least:
 
 
 def _stream(text: Column) -> Column:
-    """The words of a text in lower case with '.' where a sentence or line ends."""
-    ends = F.translate(F.lower(text), "!?:…", "....")
-    plain = F.regexp_replace(F.replace(ends, F.lit("\n"), F.lit(". ")), r"[^\p{L}\p{M}\p{N}.]+|\.(?=\.)", " ")
-    marked = F.replace(F.concat(plain, F.lit(" ")), F.lit(". "), F.lit(" . "))
-    return F.filter(F.split(marked, " +"), lambda x: x != "")
+    """The words of a text in lower case with '.' where a sentence or line ends; one pattern cuts the text."""
+    parts = F.split(F.replace(F.translate(F.lower(text), "!?:…", "...."), F.lit("\n"), F.lit(". ")), r"[^\p{L}\p{M}\p{N}.]+")
+    word = lambda x: F.rtrim(x, F.lit("."))
+    return F.filter(F.flatten(F.transform(parts, lambda x: F.when(x.endswith("."), F.array(word(x), F.lit("."))).otherwise(F.array(x)))), lambda x: x != "")
 
 
-def continuations(documents: DataFrame, asked: DataFrame) -> DataFrame:
-    """prev, last, n, n_end, n_longer, n_any, n_any_end for each pair asked for.
+def word_pairs(documents: DataFrame) -> DataFrame:
+    """prev, word, n, n_end over all texts: how often word follows prev, and how often a sentence or line ends there. prev '.' is the start of a sentence.
 
-    n: how often last follows prev in all texts, n_end: how often a sentence or line ends there, n_longer: how often a longer
-    word that begins with last follows prev; n_any and n_any_end: the same as n and n_end after any word. prev '.' is the start of a sentence.
-    The open end of a text itself does not count. Word pairs are added up on the map side; the table of distinct pairs is joined by word and initial.
+    The open end of a text itself does not count. Pairs are added up on the map side.
     """
     trimmed = _rtrim(F.col("text"))
-    end = F.right(trimmed, F.lit(MARK_CHARS))
+    end = _tail(trimmed)
     text = F.concat(F.left(trimmed, F.char_length(trimmed) - F.char_length(end)), F.regexp_replace(end, MARK, ""))
     w = documents.where("text is not null").select(F.concat(F.array(F.lit(".")), _stream(text)).alias("w")).where("size(w) >= 3")
     pair = lambda i: F.struct(F.get("w", i).alias("prev"), F.get("w", i + 1).alias("word"), (F.get("w", i + 2) == ".").alias("end"))
     pairs = w.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 3), pair)).alias("x")).select("x.*").where("word <> '.'")
-    pairs = pairs.groupBy("prev", "word").agg(F.count("*").alias("n"), F.count_if("end").alias("n_end"))
-    pairs = materialise(pairs.select("prev", F.left("word", F.lit(1)).alias("initial"), "word", "n", "n_end"), "cut-pairs")
-    keys = small(materialise(asked.select("prev", "last").distinct().withColumn("initial", F.left("last", F.lit(1))), "cut-asked"))
-    hit = pairs.join(keys, ["prev", "initial"]).where(F.col("word").startswith(F.col("last")))
+    return pairs.groupBy("prev", "word").agg(F.count("*").alias("n"), F.count_if("end").alias("n_end"))
+
+
+def continuations(pairs: DataFrame, asked: DataFrame) -> DataFrame:
+    """prev, last, n, n_end, n_longer, n_any, n_any_end for each pair asked for; pairs: the rows of word_pairs.
+
+    n, n_end: as there, n_longer: how often a longer word that begins with last follows prev; n_any and n_any_end: the same as n
+    and n_end after any word. Each pair is looked up by its word's beginnings of the lengths that are asked for: an equi join.
+    """
+    keys = materialise(asked.select("prev", "last").distinct(), "cut-asked")
+    sizes = [r[0] for r in keys.select(F.char_length("last")).distinct().collect()]  # a row a length of a word
+    keys = small(keys)
+    beginnings = F.filter(F.array(*[F.lit(k) for k in sorted(sizes)]).cast("array<int>"), lambda k: k <= F.char_length("word"))
+    hit = pairs.select("prev", "word", "n", "n_end", F.explode(F.transform(beginnings, lambda k: F.left("word", k))).alias("last")).join(keys, ["prev", "last"], "left_semi")
     same = F.col("word") == F.col("last")
     after = hit.groupBy("prev", "last").agg(F.sum(F.when(same, F.col("n")).otherwise(0)).alias("n"), F.sum(F.when(same, F.col("n_end")).otherwise(0)).alias("n_end"), F.sum(F.when(same, 0).otherwise(F.col("n"))).alias("n_longer"))
     lasts = keys.select("last").distinct()
@@ -118,11 +131,48 @@ def continuations(documents: DataFrame, asked: DataFrame) -> DataFrame:
     return keys.select("prev", "last").join(after, ["prev", "last"], "left").join(anywhere, "last", "left")
 
 
-def truncated(documents: DataFrame, end_rate: float = 0.06, same_line: int = 3) -> DataFrame:
+#: Hazards of sentence ends are told apart in so many steps.
+STEPS = 2000
+
+
+def _step(ends: Column, times: Column) -> Column:
+    """The hazard of an end after so many times, with one end and one other case added, in STEPS steps."""
+    return F.floor((ends + 1) / (times + 2) * STEPS).cast("int")
+
+
+def usual_ends(pairs: DataFrame) -> DataFrame:
+    """kind, step, p: of all sentence and line ends in the texts, the share that stands where the hazard of an end is at most that step.
+
+    kind 'pair': the hazard after two words, 'word': after one. Each end is looked at without itself. At most 2 * STEPS rows.
+    """
+    words = pairs.groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end"))
+    both = pairs.where("n_end > 0").select(F.lit("pair").alias("kind"), "n", "n_end").unionByName(words.where("n_end > 0").select(F.lit("word").alias("kind"), "n", "n_end"))
+    steps = both.groupBy("kind", _step(F.col("n_end") - 1, F.col("n") - 1).alias("step")).agg(F.sum("n_end").alias("k"))
+    kind = Window.partitionBy("kind")
+    return steps.select("kind", "step", (F.sum("k").over(kind.orderBy("step")) / F.sum("k").over(kind)).alias("p"))
+
+
+def _open_limit(tested: DataFrame, rate: float) -> float:
+    """The highest p, by Benjamini and Hochberg's rule, at which an end is no usual one. tested: p; equal ones are added up, so the rule runs over a few rows."""
+    by = tested.groupBy("p").agg(F.count("*").alias("k"))
+    every = Window.partitionBy(F.lit(0))
+    ranked = by.select("p", F.sum("k").over(every.orderBy("p")).alias("rank"), F.sum("k").over(every).alias("m"))
+    found = ranked.where(F.col("p") <= F.lit(rate) * F.col("rank") / F.col("m")).agg(F.max("p")).first()[0]
+    return -1.0 if found is None else found
+
+
+def truncated(documents: DataFrame, rate: float = 0.1, same_line: int = 3, min_pairs: int = 3, min_words: int = 20) -> DataFrame:
     """doc_id, source, reason of every text cut inside a word or a sentence.
 
-    reason: 'broken' (a torn entity, tag or character), 'word' (the last word is the start of one that usually stands there),
-    'sentence' (sentences never end after the last two words), 'length' (no sentence end at a length where too many texts of the source end).
+    Method: discrete hazards, tested with control of the false-discovery rate, on two scales.
+    'length': the length of the text is one at which texts of its source end far more often than at the lengths around (hazards), and
+    its end is incomplete. A cut during transfer has no typical length; for it the hazard of a sentence end after its last two words is
+    tested (after its last word where these stand less than min_pairs times in all texts, and not at all only inside a line): how often a sentence ends there, of the
+    times the texts got so far, also where the last word is the beginning of another. An end is rare if few of all sentence ends in the
+    texts stand at so low a hazard (usual_ends); Benjamini and Hochberg's rule over all open ends keeps the share of false ones under rate.
+    reason 'word' if the last word mostly goes on, else 'sentence' (also after a comma or an opening sign). 'broken': only a torn entity,
+    tag or character shows the cut.
+
     Texts that end whole (sentence end, closing sign, number, address, tag, signature) or in a line in lower case of its own are not cut;
     at a length where too many texts of the source end, only a sentence end or closing sign with no bracket left open is whole. Not cut are,
     by their length alone, those that end in a line that same_line texts of the source end in; nor are texts of seven lines or more of which more than three quarters end open, nor a last
@@ -139,7 +189,8 @@ def truncated(documents: DataFrame, end_rate: float = 0.06, same_line: int = 3)
     at_limit = F.coalesce(F.arrays_overlap("limits", F.array(*[F.concat_ws(":", F.lit(u), F.col(c)) for u, c in units])), F.lit(False))
     open_ends = held.withColumn("at_limit", at_limit).where(F.col("broken") | ~F.col("whole") | (F.col("at_limit") & ~F.col("closed")))
     common = small(materialise(ends.groupBy("source", key.alias("line")).agg(F.count_distinct("doc_id").alias("k")).where(F.col("k") >= same_line).select("source", "line", F.lit(True).alias("usual")), "cut-usual"))
-    seen = continuations(documents, open_ends.where("prev is not null and last is not null"))
+    pairs = materialise(word_pairs(documents), "cut-pairs")
+    seen = continuations(pairs, open_ends.where("prev is not null and last is not null"))
     x = open_ends.withColumn("line", key)
     x = x.join(common.withColumnRenamed("source", "s2").withColumnRenamed("line", "l2"), (F.col("line") == F.col("l2")) & F.col("source").eqNullSafe(F.col("s2")), "left").drop("s2", "l2")
     x = x.join(small(materialise(seen, "cut-seen")), ["prev", "last"], "left")
@@ -148,20 +199,26 @@ def truncated(documents: DataFrame, end_rate: float = 0.06, same_line: int = 3)
     aside = own_line & F.col("last_line").rlike(r"^[•\s–-]*\p{Ll}") & ~F.col("comma")
     tagged = F.col("last_line").rlike(r"^[^\s,.!?:;|]+(,\s+[^\s,.!?:;|]+){2,}$")
     name = own_line & F.col("last_line").rlike(r"^\P{L}*\p{Lu}\p{Ll}+(\s+\p{Lu}\p{Ll}+){0,2}\P{L}*$") & (n == 0) & (longer == 0)
-    excluded = (F.col("loose_share") > 0.75) | F.col("stuffed") | aside | tagged | name
+    x = x.withColumn("excluded", (F.col("loose_share") > 0.75) | F.col("stuffed") | aside | tagged | name)
+    paired = n + longer >= min_pairs
+    kind = F.when(paired, "pair").when((n_any >= min_words) & ((n >= 1) | ~own_line), "word")
+    x = x.withColumn("kind", kind).withColumn("step", F.when(paired, _step(n_end, n + longer)).otherwise(_step(any_end, n_any)))
+    # A hazard at which no sentence ever ends lies under the first step of its kind: the p of the next lower step, or 0.
+    p = usual_ends(pairs).groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("step", "p"))).alias("known"))
+    x = x.join(F.broadcast(p), "kind", "left")  # two rows
+    below = F.filter("known", lambda e: e["step"] <= F.col("step"))
+    x = materialise(x.withColumn("p", F.when(F.col("kind").isNotNull(), F.coalesce(F.try_element_at(below, F.lit(-1))["p"], F.lit(0.0)))).drop("known"), "cut-tested")
+    limit = _open_limit(x.where("p is not null and not excluded"), rate)
     usual = F.coalesce("usual", F.lit(False))
-    word = (longer >= 2) & (n_end < F.greatest(F.lit(1), longer * 0.05)) & (n <= longer)
-    never_ends = ((n >= 3) & (n_end <= n * F.lit(end_rate))) | ((n >= 1) & (n < 3) & (n_any >= 20) & (any_end <= n_any * 0.01))
-    sentence = never_ends | F.col("comma")
-    at_limit = F.col("at_limit")
-    unseen = (n == 0) & (longer == 0)
+    at_limit, excluded = F.col("at_limit"), F.col("excluded")
     in_text = ~own_line | (F.col("n_words") >= 4)
+    rare = F.coalesce(F.col("p") <= limit, F.lit(False))
     reason = (
-        F.when(F.col("broken"), "broken")
-        .when(~excluded & word, "word")
-        .when(~excluded & sentence, "sentence")
-        .when(~excluded & ~usual & at_limit & ~F.col("marked"), "length")
-        .when(~excluded & ~usual & at_limit & F.col("marked") & unseen & in_text, "length")
+        F.when(~excluded & ~usual & at_limit & (~F.col("marked") | ((n == 0) & (longer == 0) & in_text)), "length")
+        .when(F.col("broken") & at_limit, "length")
+        .when(~excluded & rare & (longer > n), "word")
+        .when(~excluded & (rare | F.col("comma")), "sentence")
+        .when(F.col("broken"), "broken")
     )
     return x.withColumn("reason", reason).where("reason is not null").groupBy("doc_id", "source").agg(F.min("reason").alias("reason"))
 
