@@ -42,3 +42,9 @@ def test_nothing(spark):
     assert positions.count() == 0 and mixing.shares(positions, plan).first().reached_share == 0
     positions, plan = mixing.mix(spark.createDataFrame([(1, "a b", "a", "x")], DOCS), spark.createDataFrame([], TARGETS))
     assert positions.count() == 0 and mixing.shares(positions, plan).count() == 0
+
+
+def test_given_schedule(spark):
+    sizes = spark.createDataFrame([("a", 1000, 10), ("b", 1000, 10)], "source string, tokens long, docs long")
+    slopes = lambda a, b: {r.source: round(r.slope, 6) for r in mixing.plan(sizes, spark.createDataFrame([(1, "a", 0.5, 1, a), (1, "b", 0.5, 1, b)], TARGETS + ", slope double")).collect()}
+    assert slopes(0.4, -0.4) == {"a": 0.4, "b": -0.4} and slopes(0.6, 0.0) == {"a": 0.3, "b": -0.3} and slopes(9.0, -9.0) == {"a": 1.0, "b": -1.0} and slopes(None, None) == {"a": 0.0, "b": 0.0}

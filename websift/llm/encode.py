@@ -151,12 +151,14 @@ def token_ids(documents: DataFrame, folder: str = TOKENIZERS, name: str = "byte_
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, IDS)
 
 
-def token_counts(documents: DataFrame, folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
-    """doc_id, n_tokens; 0 for null and empty texts."""
+def token_counts(documents: DataFrame, folder: str = TOKENIZERS, name: str = "byte_bpe_50k", also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens and the columns named in also; 0 for null and empty texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(folder, name)
-        for ids, texts in _portions(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(m) for m in e.encode(texts)], pa.int64())], ["doc_id", "n_tokens"])
+        for b in batches:
+            counts = [len(m) for _, texts in _portions([b]) for m in e.encode(texts)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), *b.columns[2:]], ["doc_id", "n_tokens", *also])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, COUNTS)
+    schema = T.StructType([*COUNTS, *[documents.schema[c] for c in also]])
+    return documents.select(F.col("doc_id").cast("long"), "text", *also).mapInArrow(run, schema)

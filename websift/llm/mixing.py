@@ -17,9 +17,11 @@ def plan(sizes: DataFrame, targets: DataFrame, tilt: float = 0.5) -> DataFrame:
     the others are scaled up to 1. A mix is as large as its scarcest source allows: demand = share * min(max_repeats * tokens
     / share), so every share is met. slope: the source's weight at time t of the training, from 0 to 1, is share * (1 + slope * (2t - 1));
     sources that may be repeated more come later. Weights add up to 1 at all times, as the slopes' mean weighted by share is 0.
-    A source named twice in a mix counts once, with the higher of each value. targets is a table of a few rows.
+    A source named twice in a mix counts once, with the higher of each value. targets is a table of a few rows; a column slope of it
+    is the schedule in place of tilt: the mean slope of a mix, weighted by share, is taken off, and slopes are scaled to at most 1.
     """
-    want = targets.where("mix_id is not null and source is not null").groupBy("mix_id", "source").agg(F.max(F.coalesce("target_share", F.lit(0.0))).alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats"))
+    given = F.max(F.coalesce("slope", F.lit(0.0))) if "slope" in targets.columns else F.max(F.lit(None).cast("double"))
+    want = targets.where("mix_id is not null and source is not null").groupBy("mix_id", "source").agg(F.max(F.coalesce("target_share", F.lit(0.0))).alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats"), given.alias("given"))
     w = want.join(sizes, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0).cast("long")))
     usable = F.when((F.col("tokens") > 0) & (F.col("max_repeats") > 0) & (F.col("target_share") > 0), F.col("target_share")).otherwise(0.0)
     mix = Window.partitionBy("mix_id")
@@ -27,10 +29,11 @@ def plan(sizes: DataFrame, targets: DataFrame, tilt: float = 0.5) -> DataFrame:
     w = w.withColumn("share", F.when(F.sum("share").over(mix) > 0, F.col("share") / F.sum("share").over(mix)).otherwise(0.0))
     w = w.withColumn("size", F.min(F.when(F.col("share") > 0, F.col("max_repeats") * F.col("tokens") / F.col("share"))).over(mix))
     w = w.withColumn("demand", F.coalesce(F.col("share") * F.col("size"), F.lit(0.0)))
-    away = F.col("max_repeats") - F.sum(F.col("share") * F.col("max_repeats")).over(mix)
-    w = w.withColumn("away", away)
+    wish = F.coalesce(F.col("given"), F.col("max_repeats").cast("double"))
+    w = w.withColumn("away", wish - F.sum(F.col("share") * wish).over(mix))
     widest = F.max(F.when(F.col("share") > 0, F.abs("away"))).over(mix)
-    return w.withColumn("slope", F.when((F.col("share") > 0) & (widest > 1e-9), F.lit(tilt) * F.col("away") / widest).otherwise(0.0)).drop("size", "away")
+    scaled = F.when(F.col("given").isNull(), F.lit(tilt) * F.col("away") / widest).otherwise(F.col("away") / F.greatest(widest, F.lit(1.0)))
+    return w.withColumn("slope", F.when((F.col("share") > 0) & (widest > 1e-9), scaled).otherwise(0.0)).drop("size", "away", "given")
 
 
 def mix(documents: DataFrame, targets: DataFrame, tilt: float = 0.5, rows_a_bucket: int = 20_000) -> tuple[DataFrame, DataFrame]:
@@ -47,14 +50,13 @@ def mix(documents: DataFrame, targets: DataFrame, tilt: float = 0.5, rows_a_buck
     wanted = small(materialise(targets.select("source").where("source is not null").distinct(), "mix-sources"))
     # Documents of the sources that a mix names; only these are encoded.
     docs = documents.where("source is not null and doc_id is not null and text is not null").select("doc_id", "text", "source").join(wanted, "source", "left_semi")
-    counts = token_counts(docs).where("n_tokens > 0")
-    owner = docs.select("doc_id", "source")
-    sized = materialise(owner.join(counts, "doc_id").groupBy("source", "doc_id").agg(F.max("n_tokens").alias("n_tokens")), "mix-sizes")
+    counts = token_counts(docs, also=("source",)).where("n_tokens > 0")
+    sized = materialise(counts.groupBy("source", "doc_id").agg(F.max("n_tokens").alias("n_tokens")), "mix-sizes")
     sizes = sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
     p = materialise(plan(sizes, targets, tilt), "mix-plan")
     n_buckets = F.greatest(F.lit(1), F.ceil(F.col("docs") / rows_a_bucket)).cast("int")
     passes = p.where("demand > 0").select("mix_id", "source", "demand", "slope", "tokens", "docs", n_buckets.alias("buckets"), F.explode(F.sequence(F.lit(0), (F.ceil(F.col("demand") / F.col("tokens")) - 1).cast("int"))).alias("copy"))
-    uses = sized.join(F.broadcast(passes), "source")  # a row for each copy of each source of a mix: at most max_repeats times a few rows
+    uses = sized.join(small(materialise(passes, "mix-passes")), "source")  # a row for each copy of each source of a mix
     order = F.xxhash64("doc_id", "copy", "mix_id")
     uses = uses.withColumn("order", order).withColumn("bucket", F.pmod(F.shiftrightunsigned("order", 16), F.col("buckets")).cast("int"))
     uses = materialise(uses, "mix-uses")

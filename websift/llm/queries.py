@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from websift.llm import encode, lines, mixing, pagepass, truncation
+from websift.llm import encode, lines, mixing, pagepass, termfreq, topn, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -16,9 +16,17 @@ SQL: dict[str, str] = {}
 SPAM_SCORE = 0.5
 
 
-def query(f: Query) -> Query:
-    QUERIES[f.__name__] = f
-    return f
+def query(sql: Query | str) -> Callable[[Query], Query] | Query:
+    """Registers a query; @query('sql') with the SQL that gives the same rows."""
+    if callable(sql):
+        QUERIES[sql.__name__] = sql
+        return sql
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__], SQL[f.__name__] = f, sql
+        return f
+
+    return add
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -66,11 +74,46 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return pages.select("page_id", F.explode("main").alias("node_id"))
 
 
+CLEAN_COUNTS = r"""d AS (SELECT DISTINCT * FROM word_frequency), t AS (SELECT page_id, lower(regexp_replace(word, '^[\s\p{Z}\x{85}\x{200B}\x{FEFF}]+|[\s\p{Z}\x{85}\x{200B}\x{FEFF}]+$', '', 'g')) AS word, word_count AS n FROM d WHERE word_count >= 1),
+    f AS (SELECT word, sum(n)::BIGINT AS total, count(DISTINCT page_id) AS records FROM t WHERE word <> '' AND page_id IS NOT NULL GROUP BY word),
+    m AS (SELECT f.*, CASE WHEN records > 0.2 * (SELECT count(DISTINCT page_id) FROM word_frequency) THEN 'common' WHEN total <= 3 THEN 'rare' END AS mark FROM f)"""
+
+
+def _marked(spark: SparkSession, d: str) -> DataFrame:
+    counts = _read(spark, d, "word_frequency")
+    n = counts.agg(F.count_distinct("page_id")).first()[0]
+    return termfreq.mark_terms(termfreq.term_frequency(counts), n)
+
+
+@query(f"WITH {CLEAN_COUNTS} SELECT word, mark FROM m WHERE mark IS NOT NULL")
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _marked(spark, d).where("mark is not null").select("word", "mark")
+
+
+@query(f"WITH {CLEAN_COUNTS} SELECT word, total, records, mark FROM m")
+def p4_terms(spark: SparkSession, d: str) -> DataFrame:
+    return _marked(spark, d)
+
+
+@query("""WITH b AS (SELECT word, item_key, max(f32) AS f32 FROM postings WHERE f32 IS NOT NULL AND NOT isnan(f32) AND word IS NOT NULL AND item_key IS NOT NULL GROUP BY word, item_key)
+    SELECT word, item_key FROM b QUALIFY row_number() OVER (PARTITION BY word ORDER BY f32 DESC, item_key) <= 5""")
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return topn.top_n(_read(spark, d, "postings"), "word", "item_key", "f32", 5).select("word", "item_key")
+
+
 @query
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return lines.repeated_lines(_read(spark, d, "nodes"))
 
 
+@query(r"""WITH l AS (SELECT DISTINCT host_name, page_id, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\p{L}\p{M}]+', ' ', 'g')) AS line FROM nodes WHERE text IS NOT NULL AND host_name IS NOT NULL),
+    h AS (SELECT host_name, count(DISTINCT page_id) AS n FROM nodes GROUP BY host_name)
+    SELECT host_name, line, count(*) AS pages FROM l JOIN h USING (host_name) WHERE line <> '' GROUP BY host_name, line, n HAVING count(*) >= greatest(3, ceil(n * 0.2 - 1e-9))""")
+def p6_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The lines that level one of problem 6 takes as they stand, without names filled in."""
+    return lines.line_support(_read(spark, d, "nodes"))
+
+
 @query
 def p6_sequences(spark: SparkSession, d: str) -> DataFrame:
     """The frequent sequences of lines of every site, by line hashes, with the pages they stand on."""
