@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from websift.functions import html, keys, robots, urls
 from websift.functions.text import escape_html, limit_text
-from websift.operators import decide, links, postings, rank, search, state, termfreq, topn
+from websift.operators import decide, links, postings, rank, search, state
 from websift.sources.tables import fake_store, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -394,32 +394,3 @@ def rank_top30(spark: SparkSession, d: str) -> DataFrame:
 def rank_norm(spark: SparkSession, d: str) -> DataFrame:
     graph = _graph(spark, d)
     return rank.squared_distance(rank.iterate(*graph, 1), rank.iterate(*graph, 2)).select(F.round("norm", 5).alias("norm"))
-
-
-# Training-data problems of the core --------------------------------------------------------------------------------------
-
-CLEAN_COUNTS = r"""d AS (SELECT DISTINCT * FROM word_frequency), t AS (SELECT page_id, lower(regexp_replace(word, '^[\s\p{Z}\x{85}\x{200B}\x{FEFF}]+|[\s\p{Z}\x{85}\x{200B}\x{FEFF}]+$', '', 'g')) AS word, word_count AS n FROM d WHERE word_count >= 1),
-    f AS (SELECT word, sum(n)::BIGINT AS total, count(DISTINCT page_id) AS records FROM t WHERE word <> '' AND page_id IS NOT NULL GROUP BY word),
-    m AS (SELECT f.*, CASE WHEN records > 0.2 * (SELECT count(DISTINCT page_id) FROM word_frequency) THEN 'common' WHEN total <= 3 THEN 'rare' END AS mark FROM f)"""
-
-
-def _marked(spark: SparkSession, d: str) -> DataFrame:
-    counts = read(spark, d, "word_frequency")
-    n = counts.agg(F.count_distinct("page_id")).first()[0]
-    return termfreq.mark_terms(termfreq.term_frequency(counts), n)
-
-
-@query(f"WITH {CLEAN_COUNTS} SELECT word, mark FROM m WHERE mark IS NOT NULL")
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _marked(spark, d).where("mark is not null").select("word", "mark")
-
-
-@query(f"WITH {CLEAN_COUNTS} SELECT word, total, records, mark FROM m")
-def p4_terms(spark: SparkSession, d: str) -> DataFrame:
-    return _marked(spark, d)
-
-
-@query("""WITH b AS (SELECT word, item_key, max(f32) AS f32 FROM postings WHERE f32 IS NOT NULL AND NOT isnan(f32) AND word IS NOT NULL AND item_key IS NOT NULL GROUP BY word, item_key)
-    SELECT word, item_key FROM b QUALIFY row_number() OVER (PARTITION BY word ORDER BY f32 DESC, item_key) <= 5""")
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return topn.top_n(read(spark, d, "postings"), "word", "item_key", "f32", 5).select("word", "item_key")
