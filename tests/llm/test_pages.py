@@ -1,5 +1,6 @@
 import itertools
 import math
+import os
 
 import numpy as np
 import pytest
@@ -81,13 +82,72 @@ def test_trees():
     assert trees.fit(x[:0], y[:0]) == [] and (trees.predict([], x) == 0).all()
 
 
-def test_weak_labels_of_empty_pages():
+def test_weak_labels():
+    common = spam.function_words([*SAMPLES, ("en", None), (None, "x")])
+    label = lambda t, a="": spam.weak_label(t, a, common)
+    story = " ".join(t for la, t in SAMPLES if la == "en")
+    assert label(story) == 0 and label("") == label(None) == 0
+    assert label("cheap sofa lamp deal cheap sofa lamp deal") == 1
+    assert label(story, "sofa lamp deal cheap " * 6) == 1
+    assert label("\n".join(f"The old harbour opens its doors for {w} in the morning." for w in ("lamps", "sofas", "chairs", "tables") * 3)) == 1
+
+
+def test_features_of_empty_pages():
     import pyarrow as pa
 
     none = pa.array([], pa.string())
     i = np.zeros(0, np.int64)
     x = spam.features(none, i, i.astype(bool), i.astype(bool), none, i, 2, pa.array(["a"]))
-    assert x.shape == (2, len(spam.FEATURES)) and (spam.weak_labels(x) == 0).all()
+    assert x.shape == (2, len(spam.FEATURES)) and not spam.has_words(x).any()
+
+
+@pytest.fixture(scope="module")
+def full_model():
+    pq = pytest.importorskip("pyarrow.parquet")
+    path = "/root/testdata/sf0.001/lang_samples.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    t = pq.read_table(path)
+    return langid.calibrate(list(zip(t["lang"].to_pylist(), t["text"].to_pylist(), strict=True)), langid.vocabulary())
+
+
+def test_languages_the_model_does_not_know(full_model):
+    other = {
+        "sv": "Grannen köpte tre cyklar i går eftersom hans dotter ville resa genom Skottland under sommaren med sina vänner.",
+        "pl": "Sąsiad kupił wczoraj trzy rowery, ponieważ jego córka chciała latem podróżować po Szkocji z przyjaciółmi.",
+        "fi": "Naapuri osti eilen kolme polkupyörää, koska hänen tyttärensä halusi matkustaa kesällä Skotlannissa ystäviensä kanssa.",
+    }
+    assert {k: langid.identify(full_model, t) for k, t in other.items()} == dict.fromkeys(other, ("und", 0.0))
+    known = {"en": "The neighbour bought three bicycles because her daughter wanted to travel in the summer with friends.", "it": "Il vicino ha comprato tre biciclette perché la figlia voleva viaggiare con gli amici.", "fr": "Le voisin a acheté trois bicyclettes parce que sa fille voulait voyager avec des amis."}
+    assert {k: langid.identify(full_model, t)[0] for k, t in known.items()} == {k: k for k in known}
+
+
+def test_scripts():
+    uk, ru = "Сусід купив три велосипеди, бо його донька хотіла подорожувати влітку.", "Сосед вчера купил три велосипеда, потому что дочь хотела ездить летом по горным тропам, и мы это видели."
+    assert langid.script_language(uk)[0] == "uk" and langid.script_language(ru)[0] == "ru"
+    assert all(0.5 < langid.script_language(t)[1] < 1 for t in (uk, ru))
+    assert langid.script_language("Сосед купил")[1] <= 0.5
+    assert langid.script_language("東の港で市が開かれる") == ("ja", 1.0) and langid.script_language("山水") == ("zh", 0.5)
+    assert langid.script_language("همسایه سه دوچرخه خرید چون گربه پرید")[0] == "fa"
+    assert langid.script_language("plain") == langid.script_language("") == (None, 0.0)
+
+
+def test_segments_of_a_line(full_model):
+    text = "The small museum opens its doors early in the morning, aber die Bäckerei braucht mehr Freiwillige für das kleine Fest."
+    got = langid.segments(langid.Scorer(full_model), text)
+    assert [g[2] for g in got] == ["en", "de"] and text[got[1][0] : got[1][1]].startswith("aber die") and all(g[3] > 0.9 for g in got)
+    assert [g[2] for g in langid.segments(langid.Scorer(full_model), "The museum opens early in the morning.")] == ["en"]
+    assert langid.segments(langid.Scorer(full_model), None) == langid.segments(langid.Scorer(full_model), " 7 ") == []
+
+
+def test_long_words_count_whole(model):
+    pieces, probs = model.pieces, model.probs
+    word = langid._marked("gardener" * 5)
+    short = np.log(langid._forward(1, langid._edges([word], pieces, model.longest), probs)[0, len(word)])
+    assert np.allclose(langid._forward_long(word, pieces, model.longest, probs), short)
+    s = langid.Scorer(model)
+    logs, _ = s.words(["harbour" * 30 + "x", "harbour" * 30 + "y" * 200])
+    assert np.isfinite(logs).all() and (logs[0] != logs[1]).all()
 
 
 NODES = "page_id long, host_name string, node_id int, parent_id int, pos int, node_depth int, tag string, elem_id string, classes array<string>, attrs map<string,string>, text string, label string"

@@ -28,8 +28,12 @@ NAMES = {
     "portuguese": "pt", "português": "pt",
 }
 ISO2 = set(ISO3.values()) | {"et", "lv", "lt", "ga", "eu", "gl", "is", "sr", "mk", "sq", "hi", "vi", "th", "id", "fa", "la", "lb", "nb", "nn"}
-#: Scripts of which one language is the usual one, by ranges of code points.
+# Scripts by ranges of code points, each with its most usual language.
 SCRIPTS = [(0x3040, 0x30FF, "ja"), (0xAC00, 0xD7AF, "ko"), (0x4E00, 0x9FFF, "zh"), (0x0400, 0x04FF, "ru"), (0x0370, 0x03FF, "el"), (0x0600, 0x06FF, "ar"), (0x0590, 0x05FF, "he"), (0x0E00, 0x0E7F, "th"), (0x0900, 0x097F, "hi")]
+# Letters that only some languages of a script have, by the script's usual language.
+LETTERS = {"ru": {"ru": "ыэё", "uk": "іїєґ", "be": "ў", "sr": "ђјљњћџ", "mk": "ѓќѕ"}, "ar": {"fa": "پچژگ", "ur": "ٹڈےں"}}
+#: Scripts that several languages share without such letters.
+SHARED = {"zh", "hi"}
 
 _OTHER_SCRIPT = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b, _ in SCRIPTS) + "]")
 
@@ -76,6 +80,11 @@ class Model(NamedTuple):
     longest: int
     #: For each word of the samples, its languages as bits.
     seen: dict[str, int]
+    #: Set by calibrate on held-out samples: what scores are divided by before they give a confidence; the least log-probability a
+    #: character that a text of a known language has, and how much it varies with one word.
+    temperature: float = 1.0
+    least: float = -math.inf
+    spread: float = 0.0
 
 
 def _edges(words: list[str], pieces: dict[str, int], longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
@@ -115,6 +124,20 @@ def _forward(n: int, edges: tuple, probs: np.ndarray) -> np.ndarray:
     return alpha
 
 
+def _forward_long(word: str, pieces: dict[str, int], longest: int, probs: np.ndarray) -> np.ndarray:
+    """The log of the same sum for one word of any length, in log space, so that it can't underflow."""
+    logs, unknown = np.log(np.maximum(probs, 1e-300)), len(pieces)
+    alpha = np.full((len(word) + 1, probs.shape[1]), -np.inf)
+    alpha[0] = 0.0
+    for e in range(1, len(word) + 1):
+        starts = [(k, pieces[word[k:e]]) for k in range(max(0, e - longest), e) if word[k:e] in pieces]
+        if not starts or starts[-1][0] != e - 1:
+            starts.append((e - 1, unknown))
+        at, piece = zip(*starts, strict=True)
+        alpha[e] = np.logaddexp.reduce(alpha[list(at)] + logs[list(piece)], axis=0)
+    return alpha[-1]
+
+
 def _marked(word: str) -> str:
     return "▁" + word
 
@@ -171,37 +194,95 @@ def train(samples: list[tuple[str, str]], pieces: list[str], rounds: int = 4, mi
     return Model(langs, local, probs, longest, seen)
 
 
+def calibrate(samples: list[tuple[str, str]], pieces: list[str], snippet: int = 3) -> Model:
+    """The model of all samples, with temperature, least and spread from two models that each saw one half and are tested on the other.
+
+    temperature makes the confidences of snippets of so many words as high as the share that is right (least cross entropy on a
+    grid); least is the lowest log-probability a character of a held-out sample under its language, spread its standard deviation.
+    """
+    full = train(samples, pieces)
+    ok = [(la, t) for la, t in samples if la and t and t.strip() and WORD.search(t)]
+    by: dict[str, int] = {}
+    halves: list[list[tuple[str, str]]] = [[], []]
+    for la, t in ok:
+        by[la] = by.get(la, 0) + 1
+        halves[by[la] % 2].append((la, t))
+    levels, scores, truth = [], [], []
+    for k in (0, 1):
+        half = train(halves[1 - k], pieces)
+        held = [(la, t) for la, t in halves[k] if la in half.langs]
+        if not held:
+            continue
+        lines = score_lines(Scorer(half), [t for _, t in held])
+        own = np.array([half.langs.index(la) for la, _ in held])
+        levels += (lines.levels[np.arange(len(held)), own] / np.maximum(lines.chars, 1)).tolist()
+        for i in range(len(held)):
+            words = lines.word_scores[lines.word_line == i]
+            for j in range(0, len(words) - snippet + 1, snippet):
+                row = np.full(len(full.langs), -1e9)
+                row[[full.langs.index(x) for x in half.langs]] = words[j : j + snippet].sum(axis=0)
+                scores.append(row)
+                truth.append(full.langs.index(held[i][0]))
+    if not scores:
+        return full
+    x, y = np.stack(scores), np.array(truth)
+    loss = {}
+    for t in np.arange(0.5, 6.01, 0.25):
+        z = x / t - (x / t).max(axis=1, keepdims=True)
+        loss[float(t)] = float(np.mean(np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(y)), y]))
+    return full._replace(temperature=min(loss, key=loss.get), least=float(min(levels)), spread=float(np.std(levels)))
+
+
 class Scorer:
     """Log-probabilities of words under each language, each distinct word scored once; the cache is emptied when it gets large."""
 
+    #: Longer words are summed in log space.
+    LONG = 48
+
     def __init__(self, model: Model, most_words: int = 400_000) -> None:
         self.model, self.most = model, most_words
         self.rows: dict[str, int] = {}
-        self.table = np.zeros((0, len(model.langs)))
+        self.logs = np.zeros((0, len(model.langs)))
         self.seen = np.zeros(0, np.int64)
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(len(words), languages), relative to the mean over the languages; and the languages whose samples hold each word, as bits."""
+        """((len(words), languages) log-probabilities; the languages whose samples hold each word, as bits)."""
         if len(self.rows) > self.most:
-            self.rows, self.table, self.seen = {}, self.table[:0], self.seen[:0]
+            self.rows, self.logs, self.seen = {}, self.logs[:0], self.seen[:0]
+        m = self.model
         fresh = [w for w in words if w not in self.rows]
         for a in range(0, len(fresh), 4096):
-            part = [_marked(w[:64]) for w in fresh[a : a + 4096]]  # a word past 64 letters is judged by its first 64
-            alpha = _forward(len(part), _edges(part, self.model.pieces, self.model.longest), self.model.probs)
-            last = alpha[np.arange(len(part)), [len(w) for w in part]]
-            logs = np.log(np.maximum(last, 1e-300))
-            base = len(self.table)
-            self.table = np.concatenate([self.table, np.clip(logs - logs.mean(axis=1, keepdims=True), -WORD_LIMIT, WORD_LIMIT)])
-            self.seen = np.concatenate([self.seen, np.array([self.model.seen.get(w, 0) for w in fresh[a : a + 4096]], np.int64)])
+            part = [_marked(w) for w in fresh[a : a + 4096]]
+            logs = np.zeros((len(part), len(m.langs)))
+            short = [i for i, w in enumerate(part) if len(w) <= self.LONG]
+            if short:
+                some = [part[i] for i in short]
+                alpha = _forward(len(some), _edges(some, m.pieces, m.longest), m.probs)
+                logs[short] = np.log(np.maximum(alpha[np.arange(len(some)), [len(w) for w in some]], 1e-300))
+            for i, w in enumerate(part):
+                if len(w) > self.LONG:
+                    logs[i] = _forward_long(w, m.pieces, m.longest, m.probs)
+            base = len(self.logs)
+            self.logs = np.concatenate([self.logs, logs])
+            self.seen = np.concatenate([self.seen, np.array([m.seen.get(w, 0) for w in fresh[a : a + 4096]], np.int64)])
             self.rows.update((w, base + i) for i, w in enumerate(fresh[a : a + 4096]))
         at = np.array([self.rows[w] for w in words], np.int64)
-        return self.table[at], self.seen[at]
+        return self.logs[at], self.seen[at]
+
+
+def _relative(logs: np.ndarray) -> np.ndarray:
+    """Against the mean over the languages, each word's say limited."""
+    return np.clip(logs - logs.mean(axis=1, keepdims=True), -WORD_LIMIT, WORD_LIMIT) if logs.size else logs
 
 
-def script_language(text: str) -> str | None:
-    """The usual language of the script most letters are written in, None for Latin and unknown scripts."""
+def script_language(text: str) -> tuple[str | None, float]:
+    """(language, confidence) by the script most letters are written in; (None, 0.0) for Latin and unknown scripts.
+
+    Where a script's languages have letters of their own, these decide: the more of them, the surer. The confidence is the share of
+    letters in the script, times (k + 1) / (k + 2) for k deciding letters; a script with undecided or no such letters gives half of it.
+    """
     if not _OTHER_SCRIPT.search(text):
-        return None
+        return None, 0.0
     n: dict[str, int] = {}
     letters = 0
     for c in text:
@@ -214,21 +295,39 @@ def script_language(text: str) -> str | None:
                         n[la] = n.get(la, 0) + 1
                         break
     if not n:
-        return None
+        return None, 0.0
     if "ja" in n:
         n["ja"] += n.pop("zh", 0)
     la, k = max(n.items(), key=lambda x: x[1])
-    return la if 2 * k > letters else None
+    if 2 * k <= letters:
+        return None, 0.0
+    share = k / letters
+    if la in SHARED:
+        return la, share / 2
+    if la not in LETTERS:
+        return la, share
+    low = text.lower()
+    own = {x: sum(low.count(c) for c in signs) for x, signs in LETTERS[la].items()}
+    best = "be" if own.get("be") else max(own, key=own.get)
+    if not own[best]:
+        # No letter of another language in a long text speaks for the usual one of the script, unless it has deciding letters itself.
+        return la, share / 2 if la in LETTERS[la] else share * (k + 10) / (k + 20)
+    return best, share * (own[best] + 1) / (own[best] + 2)
 
 
 class Lines(NamedTuple):
-    """Of each line its scores and number of words; of each word its line, scores and the languages whose samples hold it, as bits."""
+    """Of each line its scores and number of words; of each word its line, scores and the languages whose samples hold it, as bits.
+
+    levels, chars: of each line the summed log-probabilities and the number of characters they are of.
+    """
 
     scores: np.ndarray
     words: np.ndarray
     word_line: np.ndarray
     word_scores: np.ndarray
     word_seen: np.ndarray
+    levels: np.ndarray
+    chars: np.ndarray
 
 
 def score_lines(scorer: Scorer, texts: list[str]) -> Lines:
@@ -237,32 +336,81 @@ def score_lines(scorer: Scorer, texts: list[str]) -> Lines:
     n = np.array([len(f) for f in found], np.int64)
     flat = pd.Series([w for f in found for w in f], dtype=object)
     codes, distinct = pd.factorize(flat)
-    each, seen = scorer.words(list(distinct))
-    word_scores = each[codes] if len(codes) else np.zeros((0, len(scorer.model.langs)))
+    m = len(scorer.model.langs)
+    logs, seen = scorer.words(list(distinct))
+    rel, sizes = _relative(logs), np.array([len(w) + 1 for w in distinct], float)
+    word_scores = rel[codes] if len(codes) else np.zeros((0, m))
+    word_logs = logs[codes] if len(codes) else np.zeros((0, m))
     word_seen = seen[codes] if len(codes) else np.zeros(0, np.int64)
     line = np.repeat(np.arange(len(texts)), n)
-    m = len(scorer.model.langs)
-    scores = np.stack([np.bincount(line, word_scores[:, j], len(texts)) for j in range(m)], axis=1) if m else np.zeros((len(texts), 0))
-    return Lines(scores, n, line, word_scores, word_seen)
+    add = lambda x: np.stack([np.bincount(line, x[:, j], len(texts)) for j in range(m)], axis=1) if m else np.zeros((len(texts), 0))
+    chars = np.bincount(line, sizes[codes], len(texts)) if len(codes) else np.zeros(len(texts))
+    return Lines(add(word_scores), n, line, word_scores, word_seen, add(word_logs), chars)
+
 
+def is_known(model: Model, levels: np.ndarray, chars: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Whether texts are in a language of the model at all: as likely a character as its held-out samples, with allowance for few words."""
+    return levels / np.maximum(chars, 1) >= model.least - model.spread / np.sqrt(np.maximum(words, 1))
 
-def confidence(scores: np.ndarray) -> np.ndarray:
-    """The posterior of the best language of each row under equal priors."""
+
+def segments(scorer: Scorer, text: str | None, switch: float = 8.0) -> list[tuple[int, int, str, float]]:
+    """(start, end, language, confidence) of the runs of words of one language in a text, in order; [] for a text without a letter.
+
+    The best path over the words' scores, where a change of language costs switch. Places are those of the first and past the last
+    letter of a run. A run in a language the model does not know is 'und'.
+    """
+    if not text or not scorer.model.langs:
+        return []
+    spans = [(x.start(), x.end()) for x in WORD.finditer(text)]
+    if not spans:
+        return []
+    words = [text[a:b].lower() for a, b in spans]
+    logs, _ = scorer.words(words)
+    scores = _relative(logs)
+    back = np.zeros(scores.shape, np.int64)
+    best = scores[0].copy()
+    for i in range(1, len(words)):
+        top = int(best.argmax())
+        stay = best >= best[top] - switch
+        back[i] = np.where(stay, np.arange(len(best)), top)
+        best = np.where(stay, best, best[top] - switch) + scores[i]
+    path = [int(best.argmax())]
+    for i in range(len(words) - 1, 0, -1):
+        path.append(int(back[i, path[-1]]))
+    path.reverse()
+    out, a = [], 0
+    for i in range(1, len(words) + 1):
+        if i == len(words) or path[i] != path[a]:
+            script, sure = script_language(text[spans[a][0] : spans[i - 1][1]])
+            chars = sum(len(w) + 1 for w in words[a:i])
+            known = is_known(scorer.model, logs[a:i, path[a]].sum(), chars, i - a)
+            if script is None:
+                script, sure = (scorer.model.langs[path[a]], float(confidence(scores[a:i].sum(axis=0, keepdims=True), scorer.model.temperature)[0])) if known else ("und", 0.0)
+            out.append((spans[a][0], spans[i - 1][1], script, sure))
+            a = i
+    return out
+
+
+def confidence(scores: np.ndarray, temperature: float = 1.0) -> np.ndarray:
+    """The posterior of the best language of each row under equal priors, of scores divided by the temperature."""
     if not scores.size:
         return np.zeros(len(scores))
-    e = np.exp(scores - scores.max(axis=1, keepdims=True))
+    e = np.exp((scores - scores.max(axis=1, keepdims=True)) / temperature)
     return e.max(axis=1) / e.sum(axis=1)
 
 
 def identify(model: Model, text: str | None) -> tuple[str | None, float]:
-    """(language, confidence) of one text; (None, 0.0) for a null text or one without a letter."""
+    """(language, confidence) of one text; (None, 0.0) for a null text or one without a letter, ('und', 0.0) for a language the model does not know."""
     if not text or not any(c.isalpha() for c in text):
         return None, 0.0
-    if (script := script_language(text)) is not None:
-        return script, 1.0
+    script, sure = script_language(text)
+    if script is not None:
+        return script, sure
     lines = score_lines(Scorer(model), [text])
     if not model.langs or not lines.words[0]:
         return None, 0.0
     k = int(lines.scores[0].argmax())
-    c = float(confidence(lines.scores)[0])
+    if not is_known(model, lines.levels[:, k], lines.chars, lines.words)[0]:
+        return "und", 0.0
+    c = float(confidence(lines.scores, model.temperature)[0])
     return model.langs[k], c if math.isfinite(c) else 0.0

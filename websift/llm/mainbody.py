@@ -193,13 +193,26 @@ def weak_labels(p: Pages, at: np.ndarray, documents: dict[int, str]) -> tuple[np
     return label, usable
 
 
+def sample_texts(documents: DataFrame, n_pages: int) -> dict[int, str]:
+    """doc_id: text of at most n_pages documents with a text, those with the lowest hash of their id.
+
+    A cut of the hash range, by the number of documents, leaves about twice as many ids as are needed before any are sorted; only ids are, and
+    the texts are then read by id. So neither a task nor the driver gets more, however many documents there are.
+    """
+    ok = documents.where("text is not null and doc_id is not null").select(F.col("doc_id").alias("page_id"), "text")
+    cut = min(2 * n_pages / max(ok.count(), 1), 1.0)
+    hashed = F.xxhash64("page_id")
+    ids = ok.where(hashed <= F.lit(int(-(2**63) + cut * (2**64 - 2**11)))).select("page_id").distinct().orderBy(hashed, "page_id").limit(n_pages)
+    chosen = sorted(r[0] for r in ids.collect())  # at most n_pages rows
+    return {r.page_id: r.text for r in ok.where(F.col("page_id").isin(chosen)).dropDuplicates(["page_id"]).collect()} if chosen else {}  # at most n_pages rows
+
+
 def fit(nodes: DataFrame, documents: DataFrame, flags: DataFrame, n_pages: int = 1000, steps: int = 100) -> Model:
     """Trains on at most n_pages labelled pages: those with the lowest hash of their id that have an exported text.
 
     The labels are weak ones, from documents (doc_id, text). No usable page gives a model that takes nothing for main body.
     """
-    chosen = documents.where("text is not null and doc_id is not null").select(F.col("doc_id").alias("page_id"), "text").orderBy(F.xxhash64("page_id"), "page_id").limit(n_pages)
-    texts = {r.page_id: r.text for r in chosen.collect()}  # at most n_pages rows
+    texts = sample_texts(documents, n_pages)
     if not texts:
         return Model(np.zeros(N_CODES), np.zeros((2, 2)))
     ids = sorted(texts)

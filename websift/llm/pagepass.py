@@ -103,7 +103,8 @@ class Pass:
         if self.parts.residue:
             out["residue"] = self._residue(p, at, main, texts, titles, page_ids)
         if self.parts.spam:
-            out["spam"] = trees.predict(self.learned.forest, self.spam_features(p, at, main, texts))
+            x = self.spam_features(p, at, main, texts)
+            out["spam"] = np.where(spam.has_words(x), trees.predict(self.learned.forest, x), 0.0)
             if self.parts.residue:
                 out["spam"] = np.where(self.in_text, 0.0, out["spam"])
         if self.parts.languages:
@@ -145,7 +146,9 @@ class Pass:
         beside = p.inherit(p.tag_is("nav", "header", "footer", "aside", "noscript", "button", "form", "label"), np.logical_or)[at]
         in_place = p.flag[at] & empty[pages] & ~linked & ~beside
         open_line = (~p.flag[at] & ~linked) | in_place
-        hints = np.flatnonzero(residue.array_hint(texts) & ~in_code & ((main & ~p.flag[at]) | ((main_chars[pages] < 200) & open_line) | in_place))
+        # A placeholder outside the main text counts where what stands outside outweighs it.
+        outside = np.bincount(pages[open_line & ~main], chars[open_line & ~main], n) > main_chars
+        hints = np.flatnonzero(residue.array_hint(texts) & ~in_code & ((main & ~p.flag[at]) | (outside[pages] & open_line) | in_place))
         for i, t in zip(hints.tolist(), texts.take(pa.array(hints)).to_pylist(), strict=True):
             found[pages[i]] |= residue.has_leftover(t)
         own_line = main & ~p.flag[at]
@@ -165,7 +168,7 @@ class Pass:
         return (found | in_title).tolist()
 
     def _languages(self, p: Pages, at: np.ndarray, texts: pa.Array, labels: dict, page_ids: np.ndarray, out: dict) -> None:
-        """Main language by the words of the lines each language wins; then the lines wholly in another language."""
+        """Main language by the words of the lines each language wins ('und' if the model knows none so likely); then the lines wholly in another language."""
         n = len(p.start)
         model = self.learned.lang
         line = mainbody.line_of(p, at)
@@ -177,34 +180,48 @@ class Pass:
         scored = langid.score_lines(self.scorer, joined)
         line_page = p.page[order]
         m = len(model.langs)
-        best = scored.scores.argmax(axis=1) if len(order) else np.zeros(0, np.int64)
-        votes = np.zeros((n, m))
-        np.add.at(votes, (line_page, best), scored.words)
-        total = np.stack([np.bincount(line_page, scored.scores[:, j], n) for j in range(m)], axis=1)
+        scripts = [langid.script_language(t) if not t.isascii() else (None, 0.0) for t in joined]
+        langs = [*model.langs, *sorted({s for s, _ in scripts if s is not None} - set(model.langs))]
+        at_lang = {la: j for j, la in enumerate(langs)}
+        by_script = np.array([-1 if s is None else at_lang[s] for s, _ in scripts], np.int64)
+        latin = by_script < 0
+        best = np.where(latin, scored.scores.argmax(axis=1), by_script) if len(order) else np.zeros(0, np.int64)
+        # A line in a script without blanks counts by its letters.
+        weight = np.where(latin, scored.words, np.maximum(scored.words, np.array([len(t) for t in joined], float) / 6)) if len(order) else np.zeros(0)
+        votes = np.zeros((n, len(langs)))
+        np.add.at(votes, (line_page, best), weight)
+        total, levels = (np.stack([np.bincount(line_page[latin], x[latin, j], n) for j in range(m)], axis=1) for x in (scored.scores, scored.levels))
         main_lang = np.where(votes.max(axis=1) > 0, votes.argmax(axis=1), -1)
-        sure = votes.max(axis=1) / np.maximum(votes.sum(axis=1), 1) * langid.confidence(total)
-        scripts = [langid.script_language(t) if not t.isascii() else None for t in joined]
+        share = votes.max(axis=1) / np.maximum(votes.sum(axis=1), 1e-9)
+        in_model = (main_lang >= 0) & (main_lang < m)
+        of_page = lambda x: np.bincount(line_page[latin], x[latin], n)
+        known = langid.is_known(model, levels[np.arange(n), np.clip(main_lang, 0, m - 1)], of_page(scored.chars), of_page(scored.words))
+        script_sure = np.bincount(line_page, np.where(latin, 0.0, weight * np.array([c for _, c in scripts])), n) / np.maximum(np.bincount(line_page, np.where(latin, 0.0, weight), n), 1e-9)
+        sure = share * np.where(in_model, langid.confidence(total, model.temperature), script_sure)
+        undetermined = in_model & ~known
+        main_lang = np.where(undetermined, -1, main_lang)
         mine = main_lang[line_page]
         rows = np.arange(len(order))
-        margin = scored.scores[rows, best] - scored.scores[rows, np.maximum(mine, 0)]
+        own = np.clip(mine, 0, m - 1)
+        top = np.minimum(best, m - 1)
+        margin = np.where(mine < m, scored.scores[rows, top] - scored.scores[rows, own], np.inf)
         # Words that clearly speak for the main language against the line's own show a line that is not wholly foreign.
         w = scored.word_line
-        against = scored.word_scores[np.arange(len(w)), np.maximum(mine[w], 0)] - scored.word_scores[np.arange(len(w)), best[w]] if len(w) else np.zeros(0)
-        mixed = np.bincount(w, against > 3.0, len(order)) / np.maximum(scored.words, 1)
-        conf = langid.confidence(scored.scores)
+        against = scored.word_scores[np.arange(len(w)), own[w]] - scored.word_scores[np.arange(len(w)), top[w]] if len(w) else np.zeros(0)
+        mixed = np.bincount(w, (against > 3.0) & (mine[w] < m), len(order)) / np.maximum(scored.words, 1)
+        conf = np.where(latin, langid.confidence(scored.scores, model.temperature), np.array([c for _, c in scripts]))
         # A language is only believed against the page's own where its samples hold enough of the words; names alone are no evidence.
-        seen = np.bincount(w, (scored.word_seen >> best[w]) & 1, len(order)) if len(w) else np.zeros(len(order))
+        seen = np.bincount(w, (scored.word_seen >> top[w]) & 1, len(order)) if len(w) else np.zeros(len(order))
         believed = (seen >= 2) & (seen >= SEEN_SHARE * scored.words)
-        foreign = believed & (best != mine) & (mine >= 0) & (margin > MARGIN) & (mixed <= 0.2)
-        lang_of = [model.langs[b] if s is None else s for b, s in zip(best.tolist(), scripts, strict=True)]
-        foreign |= np.array([s is not None for s in scripts], bool) & (mine >= 0)
+        foreign = latin & believed & (best != mine) & (mine >= 0) & (margin > MARGIN) & (mixed <= 0.2)
+        foreign |= ~latin & (mine >= 0) & (best != mine)
         hit = np.flatnonzero(foreign[first])
         owner = p.page[at[hit]]
         out["foreign_nodes"] = _lists(owner, p.node_id[at[hit]], n)
-        out["foreign_langs"] = _lists(owner, np.array([lang_of[k] for k in first[hit].tolist()], object), n)
-        out["foreign_confidence"] = _lists(owner, np.where(np.array([scripts[k] is not None for k in first[hit].tolist()], bool), 1.0, conf[first[hit]]) if len(hit) else np.zeros(0), n)
-        out["lang"] = [model.langs[k] if k >= 0 else None for k in main_lang.tolist()]
-        out["confidence"] = sure.tolist()
+        out["foreign_langs"] = _lists(owner, np.array([langs[best[k]] for k in first[hit].tolist()], object), n)
+        out["foreign_confidence"] = _lists(owner, conf[first[hit]], n)
+        out["lang"] = [langs[k] if k >= 0 else "und" if u else None for k, u in zip(main_lang.tolist(), undetermined.tolist(), strict=True)]
+        out["confidence"] = np.where(undetermined, 0.0, sure).tolist()
         out["label"] = [langid.declared(labels.get(k)) for k in page_ids.tolist()]
 
 
@@ -225,11 +242,10 @@ def _lists(owner: np.ndarray, values: np.ndarray, n: int) -> list[list]:
 
 def learn(rows: DataFrame, documents: DataFrame, repeated: DataFrame, samples: DataFrame, parts: Parts, n_pages: int = 1000) -> Learned:
     """Trains all models of a pass on the driver: body and forest on at most n_pages pages (lowest hash of the id), languages on the samples."""
-    chosen = documents.where("text is not null and doc_id is not null").select(F.col("doc_id").alias("page_id"), "text").orderBy(F.xxhash64("page_id"), "page_id").limit(n_pages)
-    texts = {r.page_id: r.text for r in chosen.collect()}  # at most n_pages rows
+    texts = mainbody.sample_texts(documents, n_pages)
     clean = [(r.lang, r.text) for r in samples.select("lang", "text").collect()]  # a fixed small table
     known = sorted({w for _, t in clean if t for w in _plain(t)})
-    lang = langid.train(clean, langid.vocabulary()) if parts.languages else None
+    lang = langid.calibrate(clean, langid.vocabulary()) if parts.languages else None
     body = mainbody.Model(np.zeros(mainbody.N_CODES), np.zeros((2, 2)))
     forest: list[trees.Tree] = []
     if texts:
@@ -246,10 +262,18 @@ def learn(rows: DataFrame, documents: DataFrame, repeated: DataFrame, samples: D
                 run = Pass(Learned(body, [], known, None), Parts(spam=True))
                 p = Pages(arrow)
                 at, main = mainbody.decode(p, body)
-                forest = spam.fit(run.spam_features(p, at, main, p.text.take(pa.array(at))))
+                x = run.spam_features(p, at, main, p.text.take(pa.array(at)))
+                forest = spam.fit(x, _labels(p, texts, spam.function_words(clean)))
     return Learned(body, forest, known, lang)
 
 
+def _labels(p: Pages, texts: dict[int, str], common: set[str]) -> np.ndarray:
+    """The weak label of each page from its exported text and the texts of its attributes."""
+    attrs = p.table["attr_text"].to_pylist()
+    ends = [*p.start.tolist()[1:], len(p.page_id)]
+    return np.array([spam.weak_label(texts.get(int(p.page_id[a])), " ".join(x for x in attrs[a:b] if x), common) for a, b in zip(p.start.tolist(), ends, strict=True)], np.int64)
+
+
 def _plain(text: str) -> list[str]:
     return langid.WORD.findall(text.lower().replace("'", " ").replace("’", " "))
 

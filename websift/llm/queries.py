@@ -48,7 +48,7 @@ def _good(pages: DataFrame) -> DataFrame:
 @query
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     pages = _good(_pages(spark, d, pagepass.Parts(residue=True, spam=True, languages=True)))
-    whole = pages.where("lang is not null and (label is null or label <> lang)").select("page_id", F.lit(0).alias("node_id"), "lang")
+    whole = pages.where("lang <> 'und' and (label is null or label <> lang)").select("page_id", F.lit(0).alias("node_id"), "lang")
     segments = pages.select("page_id", F.explode(F.arrays_zip("foreign_nodes", "foreign_langs")).alias("x")).select("page_id", F.col("x.foreign_nodes").alias("node_id"), F.col("x.foreign_langs").alias("lang"))
     return whole.unionByName(segments)
 

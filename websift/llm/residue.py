@@ -149,7 +149,7 @@ class Judge:
             total += n
             hit += n * match
         for t in other:
-            if (total == 0 or total < 300) and self.line_matches(t):
+            if self.line_matches(t):
                 total += len(t.strip())
                 hit += len(t.strip())
         return hit > 0 and hit >= self.coverage * total

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -9,7 +13,7 @@ import pyarrow.compute as pc
 from websift.llm import trees
 
 FEATURES = [
-    "signs", "words", "distinct_share", "top_share", "top5_share", "sentence_share", "words_a_block", "short_share", "known_share", "separator_share", "joined_share", "host_share",
+    "words", "distinct_share", "top_share", "top5_share", "sentence_share", "words_a_block", "short_share", "known_share", "separator_share", "joined_share", "host_share",
     "link_share", "repeat_share", "attr_words", "attr_distinct", "attr_known", "hidden_share", "skeleton_share", "same_line_share", "blocks", "bare_known", "repeated_share",
 ]
 
@@ -104,11 +108,9 @@ def features(texts: pa.Array, page: np.ndarray, linked: np.ndarray, hidden: np.n
         "host_share": ratio(_by_page(page, hosts, n), total), "link_share": ratio(_by_page(page, counts * linked.astype(float), n), total), "repeat_share": ratio(np.bincount(word_page, repeat, n), total),
         "attr_words": a_total, "attr_distinct": np.where(a_total > 0, ratio(a_distinct, a_total), 1), "attr_known": np.where(a_total > 0, ratio(a_known, a_total), 1),
         "hidden_share": ratio(_by_page(page, counts * hidden.astype(float), n), total), "skeleton_share": varied, "same_line_share": 1 - ratio(line_distinct, blocks) * (blocks > 0) - (blocks == 0),
-        "blocks": blocks, "bare_known": ratio(_by_page(page, counts * (block_known < 0.5), n), total), "repeated_share": repeated, "signs": np.zeros(n),
+        "blocks": blocks, "bare_known": ratio(_by_page(page, counts * (block_known < 0.5), n), total), "repeated_share": repeated,
     }
-    x = np.stack([value[f] for f in FEATURES], axis=1).astype(float)
-    x[:, FEATURES.index("signs")] = sum(s.astype(float) for s in signs(x))
-    return x
+    return np.stack([value[f] for f in FEATURES], axis=1).astype(float)
 
 
 def _share_of_repeats(page: np.ndarray, codes: np.ndarray, n: int) -> np.ndarray:
@@ -121,28 +123,46 @@ def _share_of_repeats(page: np.ndarray, codes: np.ndarray, n: int) -> np.ndarray
     return np.bincount(page, many, n) / np.maximum(np.bincount(page, minlength=n), 1)
 
 
-def signs(x: np.ndarray) -> list[np.ndarray]:
-    """For each clear sign of spam, the pages that show it."""
-    f = {k: x[:, i] for i, k in enumerate(FEATURES)}
-    some = f["words"] >= 6
-    stuffed = some & (f["sentence_share"] < 0.4) & (f["known_share"] < 0.45)
-    repeated = (f["words"] >= 30) & (f["distinct_share"] < 0.25) & (f["known_share"] < 0.6)
-    listed = some & (f["sentence_share"] < 0.1) & (f["blocks"] >= 8) & (f["words_a_block"] < 6) & (f["known_share"] < 0.8)
-    in_attributes = (f["attr_words"] >= 20) & (f["attr_known"] < 0.4) & (f["attr_distinct"] < 0.6)
-    hidden = (f["hidden_share"] > 0.4) & (f["known_share"] < 0.6)
-    doorway = (f["skeleton_share"] > 0.4) & (f["blocks"] >= 3) & (f["same_line_share"] < 0.3)
-    return [stuffed, repeated, listed, in_attributes, hidden, doorway]
+def has_words(x: np.ndarray) -> np.ndarray:
+    """Pages with a word in their main body or attributes; others can't be stuffed."""
+    return (x[:, FEATURES.index("words")] > 0) | (x[:, FEATURES.index("attr_words")] > 0)
+
+
+_WORD = re.compile(r"[^\W\d_]+")
 
 
-def weak_labels(x: np.ndarray) -> np.ndarray:
-    """1 for a page with a sign of spam, 0 for one that is clearly content or has no main text, -1 undecided."""
-    f = {k: x[:, i] for i, k in enumerate(FEATURES)}
-    content = (f["sentence_share"] > 0.7) & (f["known_share"] > 0.6) & (f["hidden_share"] < 0.1) & ((f["attr_words"] < 15) | (f["attr_known"] > 0.6)) & (f["skeleton_share"] < 0.2)
-    return np.where(np.logical_or.reduce(signs(x)), 1, np.where(content | (f["words"] == 0), 0, -1))
+def function_words(samples: list[tuple[str | None, str | None]], most: int = 30) -> set[str]:
+    """The most frequent words of each language's samples."""
+    counts: dict[str, Counter] = {}
+    for la, t in samples:
+        if la and t:
+            counts.setdefault(la, Counter()).update(_WORD.findall(t.lower()))
+    return {w for c in counts.values() for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:most]}
 
 
-def fit(x: np.ndarray) -> list[trees.Tree]:
+def weak_label(text: str | None, attrs: str, common: set[str]) -> int:
+    """1 spam, 0 content, -1 undecided: from sources that the features do not see, the exported text of a page and how its words are used.
+
+    Each rule looks at one thing: how many of the text's words are function words (keywords have none, sentences need them), how
+    well the text can be compressed (sentences that only vary a keyword), how many lines end as sentences do (lists of links), and the
+    function words of the attributes. No feature is one of these.
+    """
+    words, held = _WORD.findall((text or "").lower()), _WORD.findall(attrs.lower())
+    share = sum(w in common for w in words) / max(len(words), 1)
+    held_share = sum(w in common for w in held) / max(len(held), 1)
+    data = (text or "").encode("utf-8", "replace")
+    packed = len(zlib.compress(data)) / len(data) if len(data) >= 200 else 1.0
+    lines = [x for x in (text or "").split("\n") if x.strip()]
+    open_lines = sum(x.rstrip()[-1:] not in ".!?…\"»”)" for x in lines) / max(len(lines), 1)
+    stuffed_attrs = len(held) >= 20 and held_share < 0.13
+    if stuffed_attrs or (len(words) >= 6 and share < 0.18) or packed < 0.3 or (len(lines) >= 8 and open_lines > 0.8 and share < 0.25):
+        return 1
+    if (share > 0.26 or not words) and packed > 0.34 and (len(held) < 15 or held_share > 0.15):
+        return 0
+    return -1
+
+
+def fit(x: np.ndarray, labels: np.ndarray) -> list[trees.Tree]:
     """Bagged trees on the pages with a weak label."""
-    y = weak_labels(x)
-    keep = y >= 0
-    return trees.fit(x[keep], y[keep])
+    keep = labels >= 0
+    return trees.fit(x[keep], labels[keep])
