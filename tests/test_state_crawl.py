@@ -1,12 +1,13 @@
 from datetime import datetime
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from websift import schema as S
 from websift.functions.keys import key_hex
 from websift.operators import decide, state
-from websift.plans.crawl import CrawlConfig, Store, crawl
+from websift.plans.crawl import CrawlConfig, Store, crawl, plan
 from websift.sources import binary, logs
 from websift.sources.fetch import Response, fetch, fetch_following, redirect_location
 from websift.sources.tables import memory_store, process, url_list
@@ -36,11 +37,11 @@ def test_long_redirects(spark):
 
 
 def test_statistics(spark):
-    rows = [(i, f"k{i}", t, None, 0, n) for i, (t, n) in enumerate([(1, 0), (2, 0), (3, 2), (4, 3), (5, 4), (6, 5), (7, 6), (128, 0), (129, 0), (130, 0), (131, 0)])]
+    rows = [(i, f"k{i}", t, None, 0, n) for i, (t, n) in enumerate([(1, 0), (1, 0), (2, 0), (3, 30), (4, 50), (4, 20), (130, 0)])]
     now = state.current(log(spark, rows))
-    got = {r.state_type: r for r in state.statistics(now).collect()}
-    assert all(r.percent == 9 for r in got.values()) and [got[t].percent_bytes for t in (3, 4, 5, 6, 7)] == [10, 15, 20, 25, 30] and got[4].name == "fileHTML"
-    assert tuple(state.totals(now).first()) == (11, 5, 4, 20, 1)
+    got = {r.state_type: (r["name"], r.n, r.percent, r["bytes"], r.percent_bytes) for r in state.statistics(now).collect()}
+    assert got == {1: ("know", 2, 28, 0, 0), 2: ("redirect", 1, 14, 0, 0), 3: ("fileRobots", 1, 14, 30, 30), 4: ("fileHTML", 2, 28, 70, 70), 130: ("errorFilterURL", 1, 14, 0, 0)}
+    assert tuple(state.totals(now).first()) == (7, 3, 1, 100, 2)
     assert state.statistics(now.where("false")).count() == 0
 
 
@@ -55,20 +56,25 @@ def test_changes(spark):
 
 
 def test_url_list(spark):
-    lines = spark.createDataFrame([("https://a/",), ("https://b/",), ("https://c/",), ("bad",)], "value string")
-    kinds = {"https://a/": 1, "https://b/": 128, "https://c/": 2}
-    now = lines.where("value <> 'bad'").select(key_hex(F.col("value")).alias("url_key"), F.create_map(*[F.lit(x) for p in kinds.items() for x in p])[F.col("value")].alias("state_type"))
-    assert {r.url for r in url_list(lines, now, [1, 128]).collect()} == {"https://a/", "https://b/"}
+    lines = spark.createDataFrame([("https://tern.test/",), ("https://gull.test/",), ("https://auk.test/",), ("no url",)], "value string")
+    kinds = {"https://tern.test/": 1, "https://gull.test/": 4, "https://auk.test/": 129}
+    now = lines.where("value <> 'no url'").select(key_hex(F.col("value")).alias("url_key"), F.create_map(*[F.lit(x) for p in kinds.items() for x in p])[F.col("value")].alias("state_type"))
+    assert {r.url for r in url_list(lines, now, [1, 129]).collect()} == {"https://tern.test/", "https://auk.test/"}
 
 
 def test_records():
-    k, d = bytes(range(32)), bytes(range(32, 64))
+    k, d = bytes(range(100, 132)), bytes(range(200, 232))
+    when = 1_700_000_001
+    at = when.to_bytes(7, "big")
     assert binary.state_record(k, 0) == k + b"\0" and binary.state_record(k, 1) == k + b"\1"
-    assert binary.state_record(k, 128, 0x6399C7D4) == k + b"\x80\0\0\0\x63\x99\xc7\xd4"
-    assert binary.state_record(k, 2, 0x6399C7D4, d) == k + b"\2\0\0\0\x63\x99\xc7\xd4" + d
-    assert binary.state_record(k, 4, 0x6399C7D4, d, 0x1122334455667788, 0x11223344) == k + b"\4\0\0\0\x63\x99\xc7\xd4\x11\x22\x33\x44\x55\x66\x77\x88\x11\x22\x33\x44" + d[12:]
+    assert binary.state_record(k, 133, when) == k + b"\x85" + at
+    assert binary.state_record(k, 2, when, d) == k + b"\2" + at + d
+    assert binary.state_record(k, 7, when, d, 3 << 33, 513) == k + b"\7" + at + b"\0\0\0\6\0\0\0\0" + b"\0\0\2\1" + d[12:]
     data = b"".join([binary.state_record(k, 1), binary.state_record(k, 4, 5, d, 7, 8), binary.state_record(k, 2, 5, d)])
-    assert [(r["state_type"], r["time"], r["blob_length"]) for r in binary.state_records(data + b"cut")] == [(1, 0, None), (4, 5, 8), (2, 5, None)]
+    want = [(1, 0, None), (4, 5, 8), (2, 5, None)]
+    assert [(r["state_type"], r["time"], r["blob_length"]) for r in binary.state_records(data + b"cut")] == want
+    pieces = [data[i : i + 7] for i in range(0, len(data), 7)]
+    assert [(r["state_type"], r["time"], r["blob_length"]) for r in binary.state_records(pieces)] == want
 
 
 def test_index_files(spark, tmp_path):
@@ -78,8 +84,8 @@ def test_index_files(spark, tmp_path):
     assert list(binary.read_key_values(binary.key_values([(k, b"abc"), (p[0], b"")]))) == [(k, b"abc")]
     (tmp_path / "words.db").write_bytes(binary.key_values([(k, binary.posting_bytes([(p[0], 1.0), (p[1], 2.5)]))]))
     assert {(r.word_key, r.page_key, r.tf) for r in binary.load_index(spark, str(tmp_path / "words.db")).collect()} == {(k.hex(), p[0].hex(), 1.0), (k.hex(), p[1].hex(), 2.5)}
-    (tmp_path / "rank.db").write_bytes(binary.key_values([(p[0], b"\x3d\xcc\xcc\xcd")]))
-    assert round(binary.load_rank(spark, str(tmp_path / "rank.db")).first()["rank"], 6) == 0.1
+    (tmp_path / "rank.db").write_bytes(binary.key_values([(p[0], b"\xbe\x80\0\0")]))
+    assert binary.load_rank(spark, str(tmp_path / "rank.db")).first()["rank"] == -0.25
     (tmp_path / "urls.meta").write_bytes(binary.state_record(k, 4, 5, p[1], 7, 8))
     assert binary.load_state_log(spark, str(tmp_path / "urls.meta")).first().blob_position == 7
     stored, digest = binary.blob(b"page")
@@ -88,14 +94,15 @@ def test_index_files(spark, tmp_path):
         binary.unblob(stored, b"0" * 20)
 
 
+HOST = "https://marsh.test"
 SITE = {
-    "/": "<html lang=en><body><a href='/dir/subdir/'>P</a><a href='/robotBlocked.html'>R</a><a href='/es.html'>E</a><a href='/redirection'>R</a><a href='/robots.txt'></a><a href='/favicon.ico'></a></body></html>",
-    "/dir/": "<html lang=en><body><a href='https://www.google.com/'>g</a></body></html>",
-    "/dir/subdir/": "<html lang=en><body><a href='/err-404'>e</a><a href='/err-fatal'>f</a></body></html>",
-    "/es.html": "<html lang=es><body>x</body></html>",
-    "/known.html": "<html lang=en><body>known</body></html>",
-    "/redirected.html": "<html lang=en><body>r</body></html>",
-    "/robots.txt": "User-agent: *\nCrawl-delay: 3\nDisallow: /robotBlocked.html\n",
+    "/": "<html lang=nl><body><a href='birds/heron'>H</a> <a href='/nest/eggs'>E</a> <a href='//dune.test/x'>D</a> <a href='/favicon.ico'>i</a> <a href='/moved'>m</a></body></html>",
+    "/birds/": "<html lang=nl><head><meta name=robots content=noindex></head><body>list <a href='/unseen'>m</a></body></html>",
+    "/birds/heron": "<html lang=nl><head><meta name=robots content=nofollow></head><body>heron <a href='/unseen'>u</a></body></html>",
+    "/new": "<html lang=nl><body>moved here <a href='/gone'>g</a><a href='/broken'>b</a><a href='/it'>i</a></body></html>",
+    "/it": "<html lang=it><body>in italiano</body></html>",
+    "/left": "<html lang=nl><body>known before</body></html>",
+    "/robots.txt": "User-agent: *\nDisallow: /nest\nCrawl-delay: 7\n",
 }
 
 
@@ -103,12 +110,12 @@ def site_transport():
     """A function of its own, so that it is sent to the workers by value."""
 
     def transport(url):
-        path = url.removeprefix("https://example.org")
-        if path == "/redirection":
-            return Response(308, b"", "https://example.org/redirected.html")
-        if path == "/err-fatal":
-            raise OSError("FATAL")
-        return Response(200, SITE[path].encode()) if path in SITE else Response(404)
+        path = url.removeprefix("https://marsh.test")
+        if path == "/moved":
+            return Response(301, b"", "/new")
+        if path == "/broken":
+            raise OSError("line cut")
+        return Response(200, SITE[path].encode()) if path in SITE else Response(410)
 
     return transport
 
@@ -117,22 +124,42 @@ transport = site_transport()
 
 
 def test_fetch():
-    assert fetch(transport, "https://example.org/err-fatal").error == "FATAL"
-    assert fetch(transport, "https://example.org/err-404").error == "status 404"
-    assert fetch_following(transport, "https://example.org/redirection").body == SITE["/redirected.html"].encode()
-    assert len(fetch(transport, "https://example.org/", max_length=5).body) == 5
-    assert redirect_location("https://a/b", "https://a/b") is None and redirect_location("https://a/b", "c") == "https://a/c"
+    assert fetch(transport, HOST + "/broken").error == "line cut"
+    assert fetch(transport, HOST + "/gone").error == "status 410"
+    assert fetch(transport, HOST + "/moved").redirect == HOST + "/new"
+    assert fetch_following(transport, HOST + "/moved").body == SITE["/new"].encode()
+    assert fetch_following(lambda u: Response(302, b"", u + "x"), HOST + "/", hops=3).error == "too many redirects"
+    assert len(fetch(transport, HOST + "/", max_length=5).body) == 5
+    assert redirect_location("https://a/b", "https://a/b") is None and redirect_location("https://a/b", "c") == "https://a/c" and redirect_location("https://a/b", None) is None
 
 
-def test_crawl(spark, tmp_path):
+@pytest.mark.parametrize("rounds", [1, 10])
+def test_crawl(spark, tmp_path, rounds):
     store = Store(spark, str(tmp_path / "store"))
     seed = lambda *u: spark.createDataFrame([(x,) for x in u], "url string")
-    store.add_unknown(seed("https://example.org/known.html"), 0)
-    other = F.regexp_extract("url", "^https?://([^/]*)", 1) != "example.org"
-    crawl(store, seed("https://example.org/"), CrawlConfig(transport, [other], [F.col("lang") != "en"]), T0, 1)
+    store.add_unknown(seed(HOST + "/left"), 0)
+    assert {r.url for r in plan(store, seed("https://me@marsh.test/?", "no url")).collect()} == {HOST + "/left", HOST + "/"}
+    away = F.regexp_extract("url", "^https?://([^/]*)", 1) != "marsh.test"
+    crawl(store, seed(HOST + "/"), CrawlConfig(transport, [away], [F.col("lang") != "nl"], sleep=None, compact_rounds=rounds), T0, 1)
     got = {r.state_type: r.n for r in store.current().groupBy("state_type").agg(F.count("*").alias("n")).collect()}
-    assert got == {S.KNOW: 1, S.REDIRECT: 1, S.FILE_ROBOTS: 1, S.FILE_HTML: 5, S.ERROR_NETWORK: 2, S.ERROR_FILTER_URL: 3, S.ERROR_FILTER_PAGE: 1, S.ERROR_ROBOT: 1}
-    assert {r.url.removeprefix("https://example.org") for r in store.table("pages").collect()} == {"/", "/dir/", "/dir/subdir/", "/known.html", "/redirected.html"}
+    # /favicon.ico stays known; dune.test, www.dune.test, dune.test/x and www.marsh.test are struck; /nest/ and /nest/eggs by robots.
+    assert got == {S.KNOW: 1, S.REDIRECT: 1, S.FILE_ROBOTS: 1, S.FILE_HTML: 4, S.ERROR_NETWORK: 2, S.ERROR_FILTER_URL: 4, S.ERROR_FILTER_PAGE: 1, S.ERROR_ROBOT: 2, S.ERROR_NO_INDEX: 1}
+    pages = store.table("pages")
+    assert {r.url.removeprefix(HOST) for r in pages.collect()} == {"/", "/birds/heron", "/new", "/left"}
+    asked = pages.select("url_key")
+    contents = pages.select("url_key", F.col("html").alias("content"), F.when(F.col("url") == HOST + "/new", F.lit("00" * 32)).otherwise(F.col("digest")).alias("digest"))
+    assert sorted(r.status for r in state.values(asked, store.current(), contents).collect()) == ["damaged", "ok", "ok", "ok"]
+
+
+def test_waits_between_fetches_of_a_host(spark):
+    from websift.plans.crawl import _fetch_pages
+
+    waits = []
+    frame = pd.DataFrame([("k", HOST + p, 7.0, q) for p, q in (("/left", "a"), ("/new", "a"), ("/it", "b"))], columns=["url_key", "url", "delay", "queue"])
+    rows = pd.concat(_fetch_pages(CrawlConfig(transport, sleep=waits.append))(iter([frame])))
+    assert waits == [7.0] and rows.kind.tolist() == [S.FILE_HTML] * 3
+    strict = CrawlConfig(lambda u: Response(200, b"<head><title>t</title></head><body>x"), sleep=None, strict_structure=True)
+    assert pd.concat(_fetch_pages(strict)(iter([frame]))).kind.tolist() == [S.ERROR_PARSING] * 3
 
 
 def test_decisions(spark):
@@ -165,18 +192,26 @@ def test_written_files(spark, tmp_path):
     ranks = spark.createDataFrame([(k[0], 0.5), (k[1], 2.0)], "page_key string, rank double")
     binary.write_rank(ranks, str(tmp_path / "rank"))
     assert {tuple(r) for r in binary.load_rank(spark, str(tmp_path / "rank")).collect()} == {tuple(r) for r in ranks.collect()}
-    data = b"".join([binary.state_record(bytes(32), 1), binary.state_record(bytes(range(32)), 4, 5, bytes(range(32)), 7, 8), binary.state_record(bytes(range(32)), 2, 5, bytes(range(32))), binary.state_record(bytes(32), 128, 9)])
-    (tmp_path / "in.meta").write_bytes(data)
-    binary.write_state_log(binary.load_state_log(spark, str(tmp_path / "in.meta")), str(tmp_path / "out.meta"))
-    assert (tmp_path / "out.meta").read_bytes() == data
+    key, digest = bytes(range(32)), bytes(range(32))
+    old = b"".join([binary.state_record(bytes(32), 1), binary.state_record(key, 4, 5, digest, 7, 8)])
+    new = b"".join([binary.state_record(key, 2, 5, digest), binary.state_record(bytes(32), 128, 9)])
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "urls-2.meta").write_bytes(new)
+    (tmp_path / "in" / "urls-1.meta").write_bytes(old)
+    log = binary.load_state_log(spark, str(tmp_path / "in"))
+    # The later file counts, whatever the places of the records in their files.
+    assert {r.url_key: r.state_type for r in state.current(log).collect()} == {key.hex(): 2, bytes(32).hex(): 128}
+    binary.write_state_log(log, str(tmp_path / "out"))
+    assert b"".join(p.read_bytes() for p in sorted((tmp_path / "out").glob("urls-*.meta"))) == old + new
+    assert not list((tmp_path / "out").glob("_*"))
 
 
 def test_logs(spark, tmp_path):
     said = []
     get = logs.logged(transport, lambda msg, attrs: said.append((msg, attrs)))
-    get("https://example.org/err-404")
+    get(HOST + "/gone")
     with pytest.raises(OSError):
-        get("https://example.org/err-fatal")
-    assert said == [("fetch.ok", {"status": 404, "url": "https://example.org/err-404"}), ("fetch.err", {"err": "FATAL", "url": "https://example.org/err-fatal"})]
+        get(HOST + "/broken")
+    assert said == [("fetch.ok", {"status": 410, "url": HOST + "/gone"}), ("fetch.err", {"err": "line cut", "url": HOST + "/broken"})]
     logs.write_log(spark.createDataFrame([(T0, "INFO", "fetch.ok", {"status": "200"})], logs.LOG), str(tmp_path / "log"))
     assert logs.read_log(spark, str(tmp_path / "log")).first().attrs == {"status": "200"}

@@ -108,9 +108,7 @@ class _Builder(HTMLParser):
             self.open.children.append(Element("p", parent=self.open))
 
     def handle_data(self, data: str) -> None:
-        if not self.in_body and self.open is self.head:
-            if not data.strip():
-                return
+        if not self.in_body and self.open is self.head and data.strip():
             self._enter_body()
         last = self.open.children[-1] if self.open.children else None
         if last is not None and last.tag is None:
@@ -119,6 +117,11 @@ class _Builder(HTMLParser):
             self.open.children.append(Element(None, parent=self.open, text=data))
 
 
+    def handle_comment(self, data: str) -> None:
+        if not self.in_body and self.open is self.head:
+            self.head.children.append(Element("#comment", parent=self.head))
+
+
 def parse(html: str | None) -> Element:
     """The tree of a page; null or empty html gives an empty head and body. Never raises on dirty html."""
     builder = _Builder()
@@ -142,13 +145,13 @@ def _compact(text: str) -> str:
         return text
 
 
-def nodes(top: Element) -> list[dict]:
-    """The elements and texts under top in document order. An only text child is folded into its element; blank texts stay out."""
+def nodes(top: Element, blank: bool = False) -> list[dict]:
+    """The elements and texts under top in document order. An only text child is folded into its element; blank texts stay out unless blank."""
     out: list[dict] = []
     todo = [(top, None, 0, 0)]
     while todo:
         x, parent, pos, depth = todo.pop()
-        kept = [c for c in x.children if not _dropped(c) and (c.tag is not None or c.text.strip())]
+        kept = [c for c in x.children if not _dropped(c) and (c.tag is not None or blank or c.text.strip())]
         text = x.text if x.tag is None else None
         if len(kept) == 1 and kept[0].tag is None:
             text, kept = kept[0].text, []
@@ -222,9 +225,14 @@ def print_lines(top: Element) -> list[str]:
     return out
 
 
-def is_strict(html: str | None) -> bool:
-    """Whether a one-level search for head and body finds both: a head that ends in an element with text hides the body."""
-    return re.search(r"</(script|style|title|noscript)></head>", html or "") is None
+def is_strict(root: Element) -> bool:
+    """Whether a search that climbs one level at most gets from the head to the body.
+
+    It gets past an element if it gets past all its children and ends in a last child without children of its own. Comments and white
+    space in the head count as children.
+    """
+    passed = lambda x: not x.children or not x.children[-1].children and all(map(passed, x.children))
+    return passed(root.children[0])
 
 
 PARSED = T.StructType(
@@ -240,7 +248,7 @@ PARSED = T.StructType(
 
 
 def parse_pages(pages: DataFrame, strict_structure: bool = False, columns: tuple[str, ...] = ("meta", "nodes", "hrefs", "body_text")) -> DataFrame:
-    """One row a page with its meta, body nodes, raw hrefs in document order and body text (node texts parted by a line feed).
+    """One row a page with its meta, body nodes, raw hrefs in document order and body text (node texts parted by a line feed); of a page only what columns need is made.
 
     Null html gives empty meta and a lone body node. strict_structure leaves out the pages that a one-level search for the
     body can't read. Only the columns asked for leave Python. Pages that come in fewer partitions than there are cores (one small
@@ -248,20 +256,22 @@ def parse_pages(pages: DataFrame, strict_structure: bool = False, columns: tuple
     """
     schema = T.StructType([f for f in PARSED if f.name in ("page_id", "url", *columns)])
     names = schema.names
+    wants_body = bool({"nodes", "hrefs", "body_text"} & set(names))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for page_id, url, html in zip(b.page_id, b.url, b.html, strict=True):
-                if strict_structure and not is_strict(html):
-                    continue
                 root = parse(html)
-                body = nodes(root.children[1])
-                made = {"page_id": page_id, "url": url, "nodes": body}
+                if strict_structure and not is_strict(root):
+                    continue
+                made = {"page_id": page_id, "url": url}
                 if "meta" in names:
                     made["meta"] = meta(root)
-                made["hrefs"] = [x["attrs"]["href"] for x in body if x["tag"] == "a" and "href" in x["attrs"]]
-                made["body_text"] = "\n".join(x["text"] for x in body if x["text"])
+                if wants_body:
+                    made["nodes"] = body = nodes(root.children[1])
+                    made["hrefs"] = [x["attrs"]["href"] for x in body if x["tag"] == "a" and "href" in x["attrs"]]
+                    made["body_text"] = "\n".join(x["text"] for x in body if x["text"])
                 rows.append([made[n] for n in names])
             yield pd.DataFrame(rows, columns=names)
 

@@ -53,34 +53,44 @@ def resolve(base: str | None, href: str | None) -> str | None:
 
 
 def expand(url: str | None, seen: dict[str, None] | None = None) -> list[str]:
-    """The cleaned URL and those above it: without query, each parent folder, the host without port, each parent domain, www.<host>."""
+    """The cleaned URL and those above it: without query, each parent folder, the host without port, each parent domain, www.<domain>.
+
+    seen: URLs found before; a URL already in it adds nothing.
+    """
     seen = {} if seen is None else seen
     source = clean(url)
     if source is None:
         return list(seen)
     s = urlsplit(source)
-    host = s.netloc
-    if host.endswith("."):
-        host = host[:-1]
-        source = f"{s.scheme}://{host}{s.path}" + (f"?{s.query}" if s.query else "")
-    if source in seen:
-        return list(seen)
-    seen[source] = None
-    seen[f"{s.scheme}://{host}{s.path}"] = None
-    path = s.path
-    for i in range(len(path) - 1, -1, -1):
-        if path[i] == "/":
-            seen[f"{s.scheme}://{host}{path[: i + 1]}"] = None
-    bare = host.partition(":")[0]
-    if bare != host:
-        seen[f"{s.scheme}://{bare}/"] = None
-    while bare.count(".") > 1:
-        bare = bare.partition(".")[2]
-        seen[f"{s.scheme}://{bare}/"] = None
-    seen[f"{s.scheme}://www.{bare}/"] = None
+    host = s.netloc.removesuffix(".")
+    site = f"{s.scheme}://{host}"
+    whole = site + s.path + (f"?{s.query}" if s.query else "")
+    if whole not in seen:
+        name = host.partition(":")[0]
+        labels = name.split(".")
+        folders = [site + s.path[: slash.end()] for slash in re.finditer("/", s.path)]
+        # The host itself only where its port is left out; a domain keeps two labels.
+        domains = [".".join(labels[i:]) for i in range(0 if name != host else 1, max(len(labels) - 1, 1))]
+        hosts = [*domains, "www." + ".".join(labels[-2:])]
+        seen.update(dict.fromkeys([whole, site + s.path, *folders, *(f"{s.scheme}://{h}/" for h in hosts)]))
     return list(seen)
 
 
+def parse_all(texts: Iterable[str]) -> list[str]:
+    """The cleaned URLs; ValueError names the first text that is no absolute URL."""
+    out = []
+    for t in texts:
+        if (url := clean(t)) is None:
+            raise ValueError(f"no absolute URL: {t!r}")
+        out.append(url)
+    return out
+
+
+def sorted_list(found: Iterable[str]) -> list[str]:
+    """URLs in text order; for a few URLs of a message or a configuration. Tables are sorted by Spark."""
+    return sorted(found)
+
+
 def page_links(base: str | None, hrefs: Iterable[str] | None) -> list[str]:
     """All URLs that a page's hrefs lead to, with their parents, each once."""
     seen: dict[str, None] = {}
@@ -118,6 +128,16 @@ def host_queue(url: Column) -> Column:
     return F.when(host != "", F.concat_ws(":", scheme, host))
 
 
+def strip_empty_port(url: str) -> str:
+    """The URL without a ':' that no port follows."""
+    return re.sub(r"^([^/]*//[^/?#]*):(?=[/?#]|$)", r"\1", url)
+
+
+def without_empty_port(url: Column) -> Column:
+    """The URL without a ':' that no port follows."""
+    return F.regexp_replace(url, r"^([^/?#]*//[^/?#]*):(?=[/?#]|$)", "$1")
+
+
 def path_and_query(url: Column) -> Column:
     """What robots rules are tested against: the path and the raw query, without the '?' between."""
     rest = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)", 1)

@@ -36,5 +36,20 @@ def host_queues(urls: DataFrame) -> DataFrame:
     return urls.select(host_queue(F.col("url")).alias("queue"), "url").where("queue is not null").groupBy("queue").agg(F.count_distinct("url").alias("n"), F.min("url").alias("first_url"), F.max("url").alias("last_url"))
 
 
+def host_lists(urls: DataFrame, digits: int = 2) -> DataFrame:
+    """queue, bucket, urls: the distinct URLs of each host queue in text order, cut into buckets by the first hex digits of their keys.
+
+    A host may hold a third of all URLs: with d digits a list holds one in 16^d of its host's.
+    """
+    rows = urls.select(host_queue(F.col("url")).alias("queue"), F.left(F.sha2("url", 256), F.lit(digits)).alias("bucket"), "url").where("queue is not null")
+    return rows.groupBy("queue", "bucket").agg(F.array_sort(F.collect_set("url")).alias("urls"))
+
+
+def robots_needed(queues: DataFrame, cached: DataFrame, now: Column, life: Column) -> DataFrame:
+    """queue: the distinct host queues without robots rules younger than life. cached: queue, fetched_at; an empty answer is one too."""
+    fresh = cached.where(F.col("fetched_at") > now - life).select("queue").distinct()
+    return queues.where("queue is not null").select("queue").distinct().join(fresh, "queue", "left_anti")
+
+
 def with_target(urls: DataFrame) -> DataFrame:
     return urls.withColumn("target", path_and_query(F.col("url")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from websift.functions.text import tokens
+from websift.session import materialise
 
 
 def words(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -33,10 +34,20 @@ def postings(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     return words(texts, key, text).groupBy("word", key).agg(F.count("*").cast("double").alias("tf"))
 
 
-def posting_lists(posts: DataFrame, key: str, buckets: int = 1) -> DataFrame:
-    """word, bucket, items: the posting list in key order, cut into buckets by key hash so that no list of a frequent word has to fit one task."""
-    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
-    return posts.groupBy("word", bucket).agg(F.array_sort(F.collect_list(F.struct(F.col(key), F.col("tf").cast("float").alias("f32")))).alias("items"))
+def posting_lists(posts: DataFrame, key: str, most: int = 50_000) -> DataFrame:
+    """word, bucket, items: the posting list of each word in key order. The list of a word on more than most pages is cut into buckets.
+
+    bucket: the first hex digits of the key's SHA-256, one digit for each factor of 16 by which the list is longer than most; '' for a
+    list in one piece. So no list grows with the collection, and a hot word spreads over tasks. posts has one row a word and page.
+    """
+    df = document_frequency(posts).where(F.col("df") > most)
+    digits = F.ceil(F.log(F.col("df") / most) / F.log(F.lit(16.0))).cast("int")
+    long = materialise(df.select("word", digits.alias("digits")), "long-lists")
+    # Every long list has more than most rows, so there are few of them; a larger table is left to the planner.
+    known = F.broadcast(long) if long.count() <= 100_000 else long
+    bucket = F.left(F.sha2(F.col(key).cast("string"), 256), F.coalesce("digits", F.lit(0)))
+    rows = posts.join(known, "word", "left").select("word", bucket.alias("bucket"), F.struct(F.col(key), F.col("tf").cast("float").alias("f32")).alias("item"))
+    return rows.groupBy("word", "bucket").agg(F.array_sort(F.collect_list("item")).alias("items"))
 
 
 def document_frequency(posts: DataFrame) -> DataFrame:

@@ -23,16 +23,25 @@ def step(rank: DataFrame, edges: DataFrame, nodes: DataFrame, damping: float | N
     return nodes.join(got, "page_key", "left").select("page_key", (new if damping is None else (1 - damping) + damping * new).alias("rank"))
 
 
-def iterate(edges: DataFrame, pages: DataFrame, steps: int, damping: float | None = None) -> DataFrame:
+def flow_of(edges: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, weighted edges between them), written out: every step reads them and none builds them again."""
+    nodes = materialise(pages.select("page_key").distinct(), "rank-nodes")
+    return nodes, materialise(weighted(keep_known(edges, nodes)), "rank-edges")
+
+
+def steps(edges: DataFrame, pages: DataFrame, n: int, damping: float | None = None) -> list[DataFrame]:
+    """The ranks after 0, 1, ... n iterations; the plan is cut every five."""
+    nodes, flow = flow_of(edges, pages)
+    out = [nodes.select("page_key", F.lit(1.0).alias("rank"))]
+    for k in range(n):
+        new = step(out[-1], flow, nodes, damping)
+        out.append(materialise(new, "rank") if k % 5 == 4 else new)
+    return out
+
+
+def iterate(edges: DataFrame, pages: DataFrame, n: int, damping: float | None = None) -> DataFrame:
     """A fixed number of iterations from rank 1."""
-    nodes = pages.select("page_key").distinct()
-    flow = weighted(keep_known(edges, nodes))
-    rank = nodes.select("page_key", F.lit(1.0).alias("rank"))
-    for k in range(steps):
-        rank = step(rank, flow, nodes, damping)
-        if k % 5 == 4:
-            rank = materialise(rank, "rank")
-    return rank
+    return steps(edges, pages, n, damping)[-1]
 
 
 def squared_distance(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -47,8 +56,7 @@ def rank(edges: DataFrame, pages: DataFrame, max_steps: int = 200, epsilon: floa
     Each step is written to the shared folder once and read by the norm and by the next step. Edges keep one
     partitioning by src, so a step shuffles the ranks and the sums, never the edges again.
     """
-    nodes = materialise(pages.select("page_key").distinct(), "rank-nodes")
-    flow = materialise(weighted(keep_known(edges, nodes)), "rank-edges")
+    nodes, flow = flow_of(edges, pages)
     flow = flow.repartition("src").persist()
     now, old = nodes.select("page_key", F.lit(1.0).alias("rank")), None
     for _ in range(max_steps):

@@ -66,6 +66,17 @@ def lookup(keys: DataFrame, state: DataFrame) -> DataFrame:
     return got.select("url_key", kind.alias("status"), F.when(kind == "ok", F.col("state_time")).alias("state_time"))
 
 
+def values(keys: DataFrame, state: DataFrame, contents: DataFrame) -> DataFrame:
+    """url_key, status, state_time, content of each key asked for. contents: url_key, content, digest (SHA-256 in hex of what was stored).
+
+    status as in lookup, or 'damaged' where the content is absent or the last 20 bytes of its digest differ; content only with 'ok'.
+    """
+    got = lookup(keys, state).join(contents.select("url_key", "content", "digest"), "url_key", "left")
+    intact = F.coalesce(F.right(F.sha2("content", 256), F.lit(40)) == F.right("digest", F.lit(40)), F.lit(False))
+    status = F.when((F.col("status") == "ok") & ~intact, "damaged").otherwise(F.col("status"))
+    return got.select("url_key", status.alias("status"), "state_time", F.when(status == "ok", F.col("content")).alias("content"))
+
+
 def statistics(state: DataFrame) -> DataFrame:
     """state_type, name, n, percent of all (whole numbers), bytes, percent of all bytes; one row for each type there is.
 

@@ -26,9 +26,11 @@ def local_session(cores: int | str = "*", app: str = "websift", memory: str = "8
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the cluster, or a local one where none is set."""
+    """The folder all executors share: spark.checkpoint.dir of the cluster; with a local master a local one where none is set. RuntimeError on a cluster without one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         folder = "/tmp/websift-shared"
         spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -21,12 +21,12 @@ def memory_store(spark: SparkSession, rows: list[tuple] = ()) -> DataFrame:
 
 
 def fake_store(spark: SparkSession, n: int = 51) -> dict[str, DataFrame]:
-    """n pages that all hold 'word': key i, rank 100 - i, tf 0."""
+    """n pages that all hold 'pebble': key i, rank 100 - i, tf 0."""
     ids = spark.range(n).select(F.col("id").alias("page_key"))
     return {
-        "postings": ids.select(F.lit("word").alias("word"), "page_key", F.lit(0.0).alias("tf")),
+        "postings": ids.select(F.lit("pebble").alias("word"), "page_key", F.lit(0.0).alias("tf")),
         "rank": ids.select("page_key", (100.0 - F.col("page_key")).alias("rank")),
-        "pages": ids.select("page_key", F.concat(F.lit("https://exemple.org/page-"), "page_key").alias("url"), F.concat(F.lit("page:"), "page_key").alias("title"), F.concat(F.lit("description "), "page_key").alias("description")),
+        "pages": ids.select("page_key", F.concat(F.lit("https://shingle.test/"), "page_key").alias("url"), F.concat(F.lit("Stone "), "page_key").alias("title"), F.concat(F.lit("About stone "), "page_key").alias("description")),
     }
 
 
