@@ -103,3 +103,13 @@ def test_params():
     for page in ("-1", "x", "1.5"):
         with pytest.raises(ValueError):
             search.parse_params("a", page)
+
+
+def test_result_page(spark):
+    from websift.functions import render
+
+    s = fake_store(spark, 12)
+    page = render.result_page(search.search("pebble", 1, s["postings"], s["rank"], s["pages"]), 'peb"ble', 1)
+    assert page.count("<li>") == 2 and "<b>1</b>" in page and "peb&quot;ble" in page and "pebble (12)" in page
+    item = spark.range(1).select(render.result_item(F.lit("https://a/?b&c"), F.lit("T" * 70), F.lit(None).cast("string"))).first()[0]
+    assert item == f'<li><a href="https://a/?b&amp;c">{"T" * 60}...</a><p></p></li>'

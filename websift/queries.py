@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from websift.functions import html, keys, robots, urls
 from websift.functions.text import escape_html, limit_text
 from websift.operators import decide, links, postings, rank, search, state
+from websift.schema import STATE_NAMES
 from websift.sources.tables import fake_store, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,12 +62,13 @@ def doc_postings(spark: SparkSession, d: str) -> DataFrame:
     return _doc_postings(spark, d)
 
 
-@query(f"""WITH {DOC_WORDS}, p AS (SELECT word, k, count(*)::BIGINT AS tf FROM w GROUP BY word, k)
-    SELECT word, count(*) AS n_items, string_agg(k::VARCHAR || ':' || tf::VARCHAR, ' ' ORDER BY k) AS items FROM p GROUP BY word""")
+@query(f"""WITH {DOC_WORDS}, p AS (SELECT word, k, count(*)::BIGINT AS tf, count(*) OVER (PARTITION BY word) AS df FROM w GROUP BY word, k),
+    b AS (SELECT *, CASE WHEN df > 50000 THEN left(sha256(k::VARCHAR), ceil(ln(df / 50000) / ln(16))::INTEGER) ELSE '' END AS bucket FROM p)
+    SELECT word, bucket, count(*) AS n_items, string_agg(k::VARCHAR || ':' || tf::VARCHAR, ' ' ORDER BY k) AS items FROM b GROUP BY word, bucket""")
 def posting_lists(spark: SparkSession, d: str) -> DataFrame:
     lists = postings.posting_lists(_doc_postings(spark, d), "doc_id")
     item = lambda x: F.concat(x["doc_id"].cast("string"), F.lit(":"), x["f32"].cast("long").cast("string"))
-    return lists.select("word", F.size("items").cast("long").alias("n_items"), F.array_join(F.transform("items", item), " ").alias("items"))
+    return lists.select("word", "bucket", F.size("items").cast("long").alias("n_items"), F.array_join(F.transform("items", item), " ").alias("items"))
 
 
 @query(f"WITH {DOC_WORDS} SELECT word, count(DISTINCT k) AS df FROM w GROUP BY word")
@@ -140,10 +142,10 @@ def search_counts(spark: SparkSession, d: str) -> DataFrame:
     return _hits(spark, d).agg(F.count("*").alias("n"), F.ceil(F.count("*") / 10).alias("chunks"))
 
 
-@query("SELECT 'page:' || i AS title, 100.0::DOUBLE - i AS score FROM range(10, 20) t(i)")
+@query("SELECT 'Stone ' || i AS title, 100.0::DOUBLE - i AS score FROM range(10, 20) t(i)")
 def search_51_pages(spark: SparkSession, d: str) -> DataFrame:
     s = fake_store(spark)
-    hits = search.score(search.retrieve(search.parse_query(" \t WORD\n"), s["postings"]), s["rank"])
+    hits = search.score(search.retrieve(search.parse_query("Pebble?"), s["postings"]), s["rank"])
     return search.page_of(hits, 1).join(s["pages"], "page_key").select("title", "score")
 
 
@@ -172,12 +174,6 @@ def page_hrefs(spark: SparkSession, d: str) -> DataFrame:
     return parsed.groupBy("page_id", "href").agg(F.count("*").alias("n"))
 
 
-@query()
-def page_links(spark: SparkSession, d: str) -> DataFrame:
-    """Resolved links with their parents, each once a page."""
-    return html.parse_pages(read(spark, d, "pages"), columns=("hrefs",)).select("page_id", F.explode(urls.links_of("url", "hrefs")).alias("link"))
-
-
 @query("SELECT page_id, url FROM pages JOIN page_meta USING (page_id) WHERE NOT no_index AND lower(langage) IN ('fr', 'fr-fr')")
 def page_lang_filter(spark: SparkSession, d: str) -> DataFrame:
     kind = decide.page_decision(F.col("no_index"), [~F.coalesce(F.lower("langage").isin("fr", "fr-fr"), F.lit(False))])
@@ -219,16 +215,39 @@ def host_queues(spark: SparkSession, d: str) -> DataFrame:
     return decide.host_queues(read(spark, d, "pages"))
 
 
-@query()
+def _parts_sql(table: str, url: str = "url") -> str:
+    """Scheme, host, path and sorted query of a column of URLs."""
+    return f"""SELECT *, lower(regexp_extract({url}, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme, regexp_extract({url}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS host,
+        regexp_extract({url}, '^[^:]*://[^/?#]*([^?#]*)', 1) AS path, array_to_string(list_sort(string_split(regexp_extract({url}, '\\?([^#]*)', 1), '&')), '&') AS q FROM {table}"""
+
+
+CLEANED = "scheme || '://' || host || path || CASE WHEN q <> '' THEN '?' || q ELSE '' END"
+EXPANDED = f"""unnest(list_concat([{CLEANED}, scheme || '://' || host || path],
+        list_transform(list_filter(range(1, length(path) + 1), lambda i: path[i] = '/'), lambda i: scheme || '://' || host || path[1:i]),
+        list_transform(range(CASE WHEN contains(host, ':') THEN 0 ELSE 1 END, greatest(len(string_split(split_part(host, ':', 1), '.')) - 1, 1)), lambda i: scheme || '://' || array_to_string(string_split(split_part(host, ':', 1), '.')[i + 1:], '.') || '/'),
+        [scheme || '://www.' || array_to_string(string_split(split_part(host, ':', 1), '.')[-2:], '.') || '/']))"""
+
+
+@query(f"SELECT page_id, {CLEANED} AS url FROM ({_parts_sql('pages')})")
 def url_clean(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select("page_id", urls.clean_url("url").alias("url"))
 
 
-@query()
+@query(f"SELECT DISTINCT {EXPANDED} AS url FROM ({_parts_sql('pages')})")
 def url_parents(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select(F.explode(urls.expand_url("url")).alias("url")).distinct()
 
 
+RESOLVED = f"""(SELECT page_id, CASE WHEN href LIKE 'http%' THEN href WHEN href LIKE '/%' THEN regexp_extract(base, '^[^:]*://[^/?#]*') || href WHEN href = '#' THEN base END AS link
+    FROM (SELECT page_id, url AS base, {UNESCAPE.format('href')} AS href FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a [^>]*?href="([^"]*)"', 1)) AS href FROM pages)))"""
+
+
+@query(f"SELECT DISTINCT page_id, {EXPANDED} AS link FROM ({_parts_sql(RESOLVED, 'link')})")
+def page_links(spark: SparkSession, d: str) -> DataFrame:
+    """Resolved links with their parents, each once a page."""
+    return html.parse_pages(read(spark, d, "pages"), columns=("hrefs",)).select("page_id", F.explode(urls.links_of("url", "hrefs")).alias("link"))
+
+
 @query("SELECT page_id, CASE WHEN strlen(title) <= 50 THEN title WHEN length(title) > 50 THEN title[1:50] || '...' ELSE title END AS short FROM page_meta")
 def limit_title(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "page_meta").select("page_id", limit_text(F.col("title"), 50).alias("short"))
@@ -286,7 +305,7 @@ def state_current(spark: SparkSession, d: str) -> DataFrame:
     return _current(spark, d).select("url_key", "seq", "state_type", "state_time", "dest_key", "blob_position", "blob_length")
 
 
-NAMES = "CASE state_type WHEN 1 THEN 'know' WHEN 2 THEN 'redirect' WHEN 3 THEN 'fileRobots' WHEN 4 THEN 'fileHTML' WHEN 5 THEN 'fileRSS' WHEN 6 THEN 'fileSitemap' WHEN 7 THEN 'fileFavicon' WHEN 128 THEN 'errorNetwork' WHEN 129 THEN 'errorParsing' WHEN 130 THEN 'errorFilterURL' WHEN 131 THEN 'errorFilterPage' WHEN 132 THEN 'errorRobot' WHEN 133 THEN 'errorNoIndex' ELSE 'type' || state_type END"
+NAMES = "CASE state_type " + " ".join(f"WHEN {code} THEN '{name}'" for code, name in STATE_NAMES.items()) + " ELSE 'type' || state_type END"
 
 
 @query(f"""WITH {CURRENT}, g AS (SELECT state_type, count(*) AS n, sum(CASE WHEN state_type >= 3 AND state_type < 128 THEN coalesce(blob_length, 0) ELSE 0 END)::BIGINT AS bytes FROM s GROUP BY state_type)
@@ -392,5 +411,8 @@ def rank_top30(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_rank_sql(2) + " SELECT round(sum(pow(a.rank - b.rank, 2)), 5) AS norm FROM r1 a JOIN r2 b USING (page_key)")
 def rank_norm(spark: SparkSession, d: str) -> DataFrame:
-    graph = _graph(spark, d)
-    return rank.squared_distance(rank.iterate(*graph, 1), rank.iterate(*graph, 2)).select(F.round("norm", 5).alias("norm"))
+    _, one, two = rank.steps(*_graph(spark, d), 2)
+    return rank.squared_distance(one, two).select(F.round("norm", 5).alias("norm"))
+
+
+from websift import queries_store  # noqa: E402, F401  registers its queries
