@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -87,3 +88,24 @@ def test_hot_sentence_start(spark):
     for p, w in asked:
         follow = [x for x in rows if x[0] == p and x[1].startswith(w)]
         assert got[p, w] == (sum(x[2] for x in follow if x[1] == w), sum(x[2] for x in follow if x[1] != w), sum(x[2] for x in rows if x[1] == w))
+
+
+def test_word_pairs_against_plain_python(spark):
+    rng = random.Random(4)
+    texts = [text(rng, rng.randrange(4)) + rng.choice(["", ".", " open end", "!?", " ...", "\n\n", " 3.5 x"]) for _ in range(300)] + [None, "", " . ", "...", "one", "Eins. zwei", "a\n\nb: c", "日本。語 é́x", ".start", "a . b"]
+    want = {}
+    for t in texts:
+        if t is None:
+            continue
+        t = t.rstrip()
+        t = re.sub(truncation.MARK.replace("\\x{FFFD}", "\ufffd"), "", t)
+        stream = ["."]
+        for part in re.split(r"[^\w.]+|_", re.sub("[!?:…]", ".", t.lower()).replace("\n", ". ").replace("\u0301", "")):
+            stream += [x for x in (part.rstrip("."), "." if part.endswith(".") else "") if x]
+        for i in range(len(stream) - 2):
+            if stream[i + 1] != ".":
+                n, k = want.get((stream[i], stream[i + 1]), (0, 0))
+                want[stream[i], stream[i + 1]] = (n + 1, k + (stream[i + 2] == "."))
+    df = spark.createDataFrame([(t.replace("\u0301", "") if t else t,) for t in texts], "text string")
+    got = {(r.prev, r.word): (r.n, r.n_end) for r in truncation.word_pairs(df).collect()}
+    assert got == want

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,25 +98,62 @@ def hazards(lengths: DataFrame, neighbours: int = 25, rate: float = 0.01, least:
     return n.where((F.col("rank") <= F.col("upto")) & (F.col("n") >= least)).select("source", "unit", "length", "n", "p")
 
 
-def _stream(text: Column) -> Column:
-    """The words of a text in lower case with '.' where a sentence or line ends; one pattern cuts the text."""
-    parts = F.split(F.replace(F.translate(F.lower(text), "!?:…", "...."), F.lit("\n"), F.lit(". ")), r"[^\p{L}\p{M}\p{N}.]+")
-    word = lambda x: F.rtrim(x, F.lit("."))
-    return F.filter(F.flatten(F.transform(parts, lambda x: F.when(x.endswith("."), F.array(word(x), F.lit("."))).otherwise(F.array(x)))), lambda x: x != "")
+#: Texts are cut into words in portions of about so many characters.
+PORTION = 8_000_000
+
+
+def _portions(texts: pa.Array) -> Iterator[pa.Array]:
+    at = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False)) // PORTION
+    cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(texts)]
+    return (texts.slice(a, b - a) for a, b in itertools.pairwise(cuts) if b > a)
+
+
+def _count_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """prev, word, n, n_end of the texts of each portion."""
+    for texts in (t for b in batches if b.num_rows for t in _portions(b.column(0))):
+        plain = pc.replace_substring(pc.replace_substring_regex(pc.utf8_lower(texts), "[!?:…]", "."), "\n", ". ")
+        lists = pc.split_pattern_regex(plain, r"[^\p{L}\p{M}\p{N}.]+")
+        parts, text = pc.list_flatten(lists), pc.list_parent_indices(lists).to_numpy()
+        dots = pc.ends_with(parts, ".").to_numpy(zero_copy_only=False)
+        encoded = pc.utf8_rtrim(parts, ".").dictionary_encode()
+        names = encoded.dictionary
+        blank = pc.equal(pc.utf8_length(names), 0).to_numpy(zero_copy_only=False)
+        code = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        at = np.flatnonzero(~blank[code])
+        if not len(at):
+            continue
+        # How many ends stand up to each part; between two words of a text there is one if the number rises.
+        ends = np.cumsum(dots)
+        begin = np.ones(len(at), bool)
+        begin[1:] = text[at[1:]] != text[at[:-1]]
+        last = np.append(begin[1:], True)
+        upto = np.append(ends[at[1:] - 1], ends[-1])
+        upto[last] = ends[np.searchsorted(text, text[at[last]], "right") - 1]
+        closed = upto - ends[at] + dots[at] > 0
+        prev = np.zeros(len(at), np.int64)
+        prev[1:] = np.where(begin[1:] | closed[:-1], 0, code[at[:-1]] + 1)
+        # The end of a text before its first word closes no word; a last word without an end is open and does not count.
+        keep = ~last | closed
+        key, inverse, n = np.unique(prev[keep] * len(names) + code[at[keep]], return_inverse=True, return_counts=True)
+        n_end = np.bincount(inverse, closed[keep], len(key)).astype(np.int64)
+        before = key // len(names)
+        words = names.take(pa.array(np.maximum(before - 1, 0)))
+        made = [pc.if_else(pa.array(before == 0), ".", words), names.take(pa.array(key % len(names))), pa.array(n.astype(np.int64)), pa.array(n_end)]
+        yield pa.RecordBatch.from_arrays(made, ["prev", "word", "n", "n_end"])
 
 
 def word_pairs(documents: DataFrame) -> DataFrame:
     """prev, word, n, n_end over all texts: how often word follows prev, and how often a sentence or line ends there. prev '.' is the start of a sentence.
 
-    The open end of a text itself does not count. Pairs are added up on the map side.
+    Words are in lower case, parted by all but letters, marks, digits and inner dots; a sentence ends at '.', '!', '?', ':' and '…'. The open
+    end of a text itself does not count. Arrow batches are cut and counted as arrays (the JVM's patterns take several times as long),
+    so the counts of a batch, not its words, are shuffled.
     """
     trimmed = _rtrim(F.col("text"))
     end = _tail(trimmed)
     text = F.concat(F.left(trimmed, F.char_length(trimmed) - F.char_length(end)), F.regexp_replace(end, MARK, ""))
-    w = documents.where("text is not null").select(F.concat(F.array(F.lit(".")), _stream(text)).alias("w")).where("size(w) >= 3")
-    pair = lambda i: F.struct(F.get("w", i).alias("prev"), F.get("w", i + 1).alias("word"), (F.get("w", i + 2) == ".").alias("end"))
-    pairs = w.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 3), pair)).alias("x")).select("x.*").where("word <> '.'")
-    return pairs.groupBy("prev", "word").agg(F.count("*").alias("n"), F.count_if("end").alias("n_end"))
+    counted = documents.where("text is not null").select(text.alias("text")).mapInArrow(_count_pairs, "prev string, word string, n long, n_end long")
+    return counted.groupBy("prev", "word").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end"))
 
 
 def continuations(pairs: DataFrame, asked: DataFrame) -> DataFrame:
